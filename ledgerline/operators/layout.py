@@ -1,18 +1,46 @@
 """Tables sorted for lookups, in place of secondary indexes.
 
-Range partitions are cut on the lookup key and a unique column behind it, so a
-key with very many rows spreads over several files.
+A lookup prunes in three steps: the bucket directory of the key, the row groups
+whose statistics admit it, the pages whose column index does. Range partitions
+are cut on the bucket, the key and a unique column behind it, so a key with
+very many rows spreads over several files of its bucket.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from dataclasses import dataclass
+from typing import Any
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.sources.workspace import Workspace
 
+BUCKET = "bucket"
+ROWS_PER_BUCKET = 20_000_000
+MOST_BUCKETS = 4096
+
 # Small row groups: a lookup reads one of them, not a whole file.
-ROW_GROUP_BYTES = {"parquet.block.size": str(8 * 1024 * 1024)}
+SMALL_ROW_GROUPS = {"parquet.block.size": str(8 * 1024 * 1024)}
+
+
+def bucket_of(key: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+
+
+@dataclass(frozen=True)
+class Clustered:
+    """A table in bucket directories, sorted by ``key`` within each."""
+
+    table: DataFrame
+    key: str
+    buckets: int
+
+    def of(self, value: Any) -> DataFrame:
+        """The rows of one key."""
+        wanted = F.lit(value).cast(self.table.schema[self.key].dataType)
+        here = F.col(BUCKET) == bucket_of(wanted, self.buckets)
+        return self.table.where(here & (F.col(self.key) == wanted)).drop(BUCKET)
 
 
 def clustered(
@@ -20,50 +48,25 @@ def clustered(
     workspace: Workspace,
     name: str,
     order: list[str],
+    rows: int,
     bloom_filter: str | None = None,
-) -> DataFrame:
-    """``df`` written in the given order; min/max statistics then skip row groups."""
-    options = dict(ROW_GROUP_BYTES)
+    rows_per_bucket: int = ROWS_PER_BUCKET,
+) -> Clustered:
+    """``df`` written for lookups by the first column of ``order``.
+
+    ``rows`` is the size of ``df``, from which the number of buckets follows.
+    ``bloom_filter`` names a further column that row groups can be skipped by.
+    """
+    buckets = min(MOST_BUCKETS, max(1, -(-rows // rows_per_bucket)))
+    options = dict(SMALL_ROW_GROUPS)
     if bloom_filter:
         options[f"parquet.bloom.filter.enabled#{bloom_filter}"] = "true"
-    return workspace.table(
-        name, lambda: df.repartitionByRange(*order).sortWithinPartitions(*order), options
-    )
 
+    def build() -> DataFrame:
+        placed = df.withColumn(BUCKET, bucket_of(F.col(order[0]), buckets))
+        return placed.repartitionByRange(BUCKET, *order).sortWithinPartitions(BUCKET, *order)
 
-def clustered_layout(
-    orders: DataFrame, order_items: DataFrame, workspace: Workspace
-) -> dict[str, DataFrame]:
-    """One sorted copy per access path of the model."""
-    owner = orders.select("increment_id", "customer_id", "order_date")
-    owned_items = order_items.join(owner, "increment_id")
-    return {
-        "orders_by_customer": clustered(
-            orders, workspace, "orders_by_customer", ["customer_id", "order_date", "increment_id"]
-        ),
-        "items_by_customer": clustered(
-            owned_items, workspace, "items_by_customer",
-            ["customer_id", "order_date", "increment_id", "item_id"],
-        ),
-        "orders_by_date": clustered(
-            orders, workspace, "orders_by_date", ["order_date", "increment_id"]
-        ),
-        "items_by_order": clustered(
-            order_items, workspace, "items_by_order", ["increment_id", "item_id"], bloom_filter="sku"
-        ),
-        "items_by_sku": clustered(order_items, workspace, "items_by_sku", ["sku", "item_id"]),
-    }
-
-
-def layout_counts(layout: dict[str, DataFrame]) -> DataFrame:
-    counted = [
-        table.agg(F.count("*").alias("rows")).select(F.lit(name).alias("layout_name"), "rows")
-        for name, table in layout.items()
-    ]
-    combined = counted[0]
-    for more in counted[1:]:
-        combined = combined.unionByName(more)
-    return combined
+    return Clustered(workspace.table(name, build, options, [BUCKET]), order[0], buckets)
 
 
 def save_bucketed(df: DataFrame, table: str, path: str, key: str, buckets: int) -> None:

@@ -1,27 +1,56 @@
-"""Point lookup of one customer's orders and items."""
+"""Point lookup of one customer's orders and items, and the tables that serve it."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerline.operators.layout import Clustered, clustered
+from ledgerline.sources.workspace import Workspace
+
 COLUMNS = ("increment_id", "order_date", "sku", "price", "qty_ordered")
 
+# Access path -> (source, sort order). The first column is what is looked up.
+LAYOUTS = {
+    "orders_by_customer": ("orders", ["customer_id", "order_date", "increment_id"]),
+    "items_by_customer": ("owned_items", ["customer_id", "order_date", "increment_id", "item_id"]),
+    "orders_by_date": ("orders", ["order_date", "increment_id"]),
+    "items_by_order": ("order_items", ["increment_id", "item_id"]),
+    "items_by_sku": ("order_items", ["sku", "item_id"]),
+}
+
 
 def customer_order_lookup(orders: DataFrame, order_items: DataFrame, customer: int) -> DataFrame:
     mine = orders.where(F.col("customer_id") == customer)
     return mine.select("increment_id", "order_date").join(order_items, "increment_id").select(*COLUMNS)
 
 
-def customer_order_lookup_clustered(
-    orders_by_customer: DataFrame, items_by_customer: DataFrame, customer: int
-) -> DataFrame:
-    """The same over the clustered tables.
-
-    Both tables are sorted by customer, and the join names the customer too, so
-    the filter reaches both scans and skips all other row groups.
-    """
-    keys = ["customer_id", "increment_id"]
-    mine = orders_by_customer.where(F.col("customer_id") == customer).select(*keys, "order_date")
-    items = items_by_customer.select(*keys, "sku", "price", "qty_ordered")
-    return mine.join(items, keys).select(*COLUMNS)
+def customer_order_lookup_clustered(items_by_customer: Clustered, customer: int) -> DataFrame:
+    """The same from items that carry their customer and order date: no join is left."""
+    return items_by_customer.of(customer).select(*COLUMNS)
+
+
+def lookup_table(
+    name: str, orders: DataFrame, order_items: DataFrame, workspace: Workspace
+) -> Clustered:
+    """One access path of the model, written the first time it is asked for."""
+    source, order = LAYOUTS[name]
+    if source == "orders":
+        df, rows = orders, orders.count()
+    else:
+        df, rows = order_items, order_items.count()
+    if source == "owned_items":
+        df = df.join(orders.select("increment_id", "customer_id", "order_date"), "increment_id")
+    bloom = "sku" if name == "items_by_order" else None
+    return clustered(df, workspace, name, order, rows, bloom_filter=bloom)
+
+
+def layout_counts(tables: dict[str, Clustered]) -> DataFrame:
+    counted = [
+        found.table.agg(F.count("*").alias("rows")).select(F.lit(name).alias("layout_name"), "rows")
+        for name, found in tables.items()
+    ]
+    combined = counted[0]
+    for more in counted[1:]:
+        combined = combined.unionByName(more)
+    return combined

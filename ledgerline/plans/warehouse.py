@@ -8,8 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgerline.operators import constraints
-from ledgerline.operators.layout import clustered_layout
-from ledgerline.plans import analytics, model, star
+from ledgerline.operators.layout import Clustered
+from ledgerline.plans import analytics, lookup, model, star
 from ledgerline.sources.export import read_csv, write_csv
 from ledgerline.sources.retail import staging_from_retail
 from ledgerline.sources.workspace import Workspace
@@ -30,6 +30,8 @@ class Warehouse:
         self.spark = spark
         self.workspace = Workspace(spark, label)
         self._land = land
+        self._lookup: dict[str, Clustered] = {}
+        self._lookup_lock = threading.Lock()
 
     @classmethod
     def from_csv(cls, spark: SparkSession, path: str) -> Warehouse:
@@ -98,8 +100,14 @@ class Warehouse:
         constraints.require_no_violations(model.foreign_key_report(tables), "orphan_keys")
         return tables
 
-    def layout(self) -> dict[str, DataFrame]:
-        return clustered_layout(self.orders(), self.order_items(), self.workspace)
+    def lookup_table(self, name: str) -> Clustered:
+        """One of the sorted copies that serve lookups."""
+        with self._lookup_lock:
+            if name not in self._lookup:
+                self._lookup[name] = lookup.lookup_table(
+                    name, self.orders(), self.order_items(), self.workspace
+                )
+            return self._lookup[name]
 
     def rfm_segments(self) -> DataFrame:
         return analytics.rfm_segments(self.orders(), self.workspace)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerline.functions.text import is_populated
-from ledgerline.operators import constraints, layout
+from ledgerline.operators import constraints
 from ledgerline.plans import analytics, audit, lookup, model, reconcile, star
 from ledgerline.plans.warehouse import Warehouse, open_retail
 from ledgerline.sources.export import RAW_COLUMNS, read_csv
@@ -235,18 +235,18 @@ def customer_order_lookup(w: Warehouse, customer: int = LOOKUP_CUSTOMER) -> Data
 
 
 def customer_order_lookup_indexed(w: Warehouse, customer: int = LOOKUP_CUSTOMER) -> DataFrame:
-    tables = w.layout()
-    return _doubles(
-        lookup.customer_order_lookup_clustered(
-            tables["orders_by_customer"], tables["items_by_customer"], customer
-        )
-    )
+    found = lookup.customer_order_lookup_clustered(w.lookup_table("items_by_customer"), customer)
+    return _doubles(found)
+
+
+def clustered_layout(w: Warehouse) -> DataFrame:
+    return lookup.layout_counts({name: w.lookup_table(name) for name in lookup.LAYOUTS})
 
 
 LOOKUP: dict[str, Query] = {
     "customer_order_lookup": customer_order_lookup,
     "customer_order_lookup_indexed": customer_order_lookup_indexed,
-    "clustered_layout": lambda w: layout.layout_counts(w.layout()),
+    "clustered_layout": clustered_layout,
 }
 
 # --- analysis --------------------------------------------------------------

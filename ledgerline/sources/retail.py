@@ -7,7 +7,7 @@ order-level totals, three discount conventions, padding rows.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerline.functions.text import BACKSLASH_N, GENUINE_TEST_SKUS, SPREADSHEET_NA
@@ -34,16 +34,19 @@ def staging_from_retail(
     large_order_lines: int = LARGE_ORDER_LINES,
 ) -> DataFrame:
     orders = spark.read.parquet(f"{folder}/orders.parquet")
-    lines = _lines(spark, folder, orders)
+    part = spark.read.parquet(f"{folder}/part.parquet")
+    lineitem = spark.read.parquet(f"{folder}/lineitem.parquet")
 
-    large = workspace.table("large_orders", lambda: _large_orders(spark, folder, large_order_lines))
+    large = workspace.table("large_orders", lambda: _large_orders(lineitem, large_order_lines))
     if large.isEmpty():
-        totalled = _totalled_in_window(lines)
+        totalled = _totalled_in_window(_lines(lineitem, part, orders))
     else:
-        usual = lines.join(large, "ok", "left_anti")
-        outsized = lines.join(large, "ok", "left_semi")
-        totalled = _totalled_in_window(usual).unionByName(
-            _totalled_in_ranges(outsized, workspace)
+        is_large = F.col("l_orderkey") == F.col("large_order")
+        usual = lineitem.join(large, is_large, "left_anti")
+        outsized = lineitem.join(large, is_large, "left_semi")
+        headers = orders.join(large, F.col("o_orderkey") == F.col("large_order"), "left_semi")
+        totalled = _totalled_in_window(_lines(usual, part, orders)).unionByName(
+            _totalled_in_ranges(_lines(outsized, part, headers), workspace)
         )
 
     padding = orders.where(F.col("o_orderkey") % 3 == 0).select(
@@ -52,9 +55,7 @@ def staging_from_retail(
     return _as_export(totalled).unionByName(padding)
 
 
-def _lines(spark: SparkSession, folder: str, orders: DataFrame) -> DataFrame:
-    part = spark.read.parquet(f"{folder}/part.parquet")
-    lineitem = spark.read.parquet(f"{folder}/lineitem.parquet")
+def _lines(lineitem: DataFrame, part: DataFrame, orders: DataFrame) -> DataFrame:
     pk = F.col("l_partkey")
     joined = (
         lineitem.select("l_orderkey", *LINE_ORDER)
@@ -77,7 +78,7 @@ def _lines(spark: SparkSession, folder: str, orders: DataFrame) -> DataFrame:
     )
 
 
-def _payment_method():
+def _payment_method() -> Column:
     ok, ck = F.col("o_orderkey"), F.col("o_custkey")
     priority = F.substring("o_orderpriority", 1, 1)
     return (
@@ -92,10 +93,9 @@ def _payment_method():
     )
 
 
-def _large_orders(spark: SparkSession, folder: str, more_than: int) -> DataFrame:
-    lineitem = spark.read.parquet(f"{folder}/lineitem.parquet")
-    counted = lineitem.groupBy(F.col("l_orderkey").alias("ok")).count()
-    return counted.where(F.col("count") > more_than).select("ok")
+def _large_orders(lineitem: DataFrame, more_than: int) -> DataFrame:
+    counted = lineitem.groupBy(F.col("l_orderkey").alias("large_order")).count()
+    return counted.where(F.col("count") > more_than).select("large_order")
 
 
 def _with_amounts(numbered: DataFrame) -> DataFrame:
@@ -114,7 +114,7 @@ def _with_amounts(numbered: DataFrame) -> DataFrame:
     )
 
 
-def _order_sums():
+def _order_sums() -> dict[str, Column]:
     return {
         "order_gross": F.sum("gross"),
         "order_discount": F.sum(F.abs("discount")),

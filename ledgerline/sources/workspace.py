@@ -48,12 +48,15 @@ class Workspace:
         name: str,
         build: Callable[[], DataFrame],
         options: dict[str, str] | None = None,
+        partition_by: list[str] | None = None,
     ) -> DataFrame:
         """The table ``name``; built and written the first time it is asked for."""
         with self._lock:
             if name not in self._tables:
                 rows = build()
                 writer = rows.write.mode("overwrite").options(**(options or {}))
+                if partition_by:
+                    writer = writer.partitionBy(*partition_by)
                 writer.parquet(self.path(name))
                 reader = self.spark.read.schema(rows.schema)
                 self._tables[name] = reader.parquet(self.path(name))
