@@ -54,46 +54,40 @@ def uniqueness_summary(df: DataFrame, key: str) -> DataFrame:
     )
 
 
-def variants(
-    df: DataFrame,
-    key: str,
-    values: dict[str, Column],
-    count_null: bool = False,
-) -> DataFrame:
-    """Number of distinct values per key for every named column.
-
-    NULL is no value, as in COUNT(DISTINCT), unless ``count_null`` is set. With
-    several columns the rows are first reduced to distinct combinations, so the
-    row expansion of several distinct counts runs on few rows.
-    """
-    rows = df.select(key, *[value.alias(name) for name, value in values.items()])
-    if len(values) > 1:
-        rows = rows.distinct()
-
-    def counted(name: str) -> Column:
-        total = F.count_distinct(F.col(name))
-        if count_null:
-            total = total + F.bool_or(F.col(name).isNull()).cast("int")
-        return total.alias(name)
-
-    return rows.groupBy(key).agg(*[counted(name) for name in values])
-
-
 def fd_check(
     df: DataFrame, key: str, value: Column, name: str = "variants", count_null: bool = False
 ) -> DataFrame:
-    """Keys that do not determine the value: key and number of distinct values."""
-    return variants(df, key, {name: value}, count_null).where(F.col(name) > 1)
+    """Keys that do not determine the value: key and number of distinct values.
+
+    NULL is no value, as in COUNT(DISTINCT), unless ``count_null`` is set.
+    """
+    number = F.count_distinct(F.col(name))
+    if count_null:
+        number = number + F.bool_or(F.col(name).isNull()).cast("int")
+    rows = df.select(key, value.alias(name))
+    return rows.groupBy(key).agg(number.alias(name)).where(F.col(name) > 1)
 
 
 def fd_summary(
     df: DataFrame, key: str, values: dict[str, Column], count_null: bool = False
 ) -> DataFrame:
-    """(attribute, checked_keys, violating_keys) for attributes that a key should determine."""
-    counted = variants(df, key, values, count_null)
-    totals = counted.agg(
-        F.count("*").alias("checked_keys"),
-        *[F.count_if(F.col(name) > 1).alias(name) for name in values],
+    """(attribute, checked_keys, violating_keys) for attributes that a key should determine.
+
+    Rows are reduced to distinct combinations, about one per key where the rule
+    holds. Whether a key has several values then shows in minimum and maximum,
+    so no row is expanded per attribute as several distinct counts would need.
+    """
+
+    def varies(name: str) -> Column:
+        several = F.coalesce(F.min(name) != F.max(name), F.lit(False))
+        if count_null:
+            several = several | (F.min(name).isNotNull() & F.bool_or(F.col(name).isNull()))
+        return several.alias(name)
+
+    rows = df.select(key, *[value.alias(name) for name, value in values.items()]).distinct()
+    per_key = rows.groupBy(key).agg(*[varies(name) for name in values])
+    totals = per_key.agg(
+        F.count("*").alias("checked_keys"), *[F.count_if(name).alias(name) for name in values]
     )
     return totals.unpivot("checked_keys", list(values), "attribute", "violating_keys").select(
         "attribute", "checked_keys", "violating_keys"

@@ -19,9 +19,10 @@ from ledgerline.sources.workspace import Workspace
 BUCKET = "bucket"
 ROWS_PER_BUCKET = 20_000_000
 MOST_BUCKETS = 4096
+ROWS_PER_FILE = 2_000_000
 
-# Small row groups: a lookup reads one of them, not a whole file.
-SMALL_ROW_GROUPS = {"parquet.block.size": str(8 * 1024 * 1024)}
+# Small row groups and pages: a lookup reads one of them, not a whole file.
+SMALL_ROW_GROUPS = {"parquet.block.size": str(1024 * 1024), "parquet.page.size": str(64 * 1024)}
 
 
 def bucket_of(key: Column, buckets: int) -> Column:
@@ -36,11 +37,13 @@ class Clustered:
     key: str
     buckets: int
 
-    def of(self, value: Any) -> DataFrame:
-        """The rows of one key."""
-        wanted = F.lit(value).cast(self.table.schema[self.key].dataType)
-        here = F.col(BUCKET) == bucket_of(wanted, self.buckets)
-        return self.table.where(here & (F.col(self.key) == wanted)).drop(BUCKET)
+    def of(self, value: Any, *columns: str | Column) -> DataFrame:
+        """The given columns (else all) of the rows of one key."""
+        kind = self.table.schema[self.key].dataType
+        wanted = F.lit(value).cast(kind)
+        here = (F.col(BUCKET) == bucket_of(wanted, self.buckets)) & (F.col(self.key) == wanted)
+        names = columns or tuple(name for name in self.table.columns if name != BUCKET)
+        return self.table.where(here).select(*names)
 
 
 def clustered(
@@ -51,20 +54,22 @@ def clustered(
     rows: int,
     bloom_filter: str | None = None,
     rows_per_bucket: int = ROWS_PER_BUCKET,
+    rows_per_file: int = ROWS_PER_FILE,
 ) -> Clustered:
     """``df`` written for lookups by the first column of ``order``.
 
-    ``rows`` is the size of ``df``, from which the number of buckets follows.
+    ``rows`` is the size of ``df``, from which buckets and files are counted.
     ``bloom_filter`` names a further column that row groups can be skipped by.
     """
-    buckets = min(MOST_BUCKETS, max(1, -(-rows // rows_per_bucket)))
+    buckets = min(MOST_BUCKETS, rows // rows_per_bucket + 1)
+    files = rows // rows_per_file + 1
     options = dict(SMALL_ROW_GROUPS)
     if bloom_filter:
         options[f"parquet.bloom.filter.enabled#{bloom_filter}"] = "true"
 
     def build() -> DataFrame:
         placed = df.withColumn(BUCKET, bucket_of(F.col(order[0]), buckets))
-        return placed.repartitionByRange(BUCKET, *order).sortWithinPartitions(BUCKET, *order)
+        return placed.repartitionByRange(files, BUCKET, *order).sortWithinPartitions(BUCKET, *order)
 
     return Clustered(workspace.table(name, build, options, [BUCKET]), order[0], buckets)
 

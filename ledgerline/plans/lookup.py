@@ -27,7 +27,7 @@ def customer_order_lookup(orders: DataFrame, order_items: DataFrame, customer: i
 
 def customer_order_lookup_clustered(items_by_customer: Clustered, customer: int) -> DataFrame:
     """The same from items that carry their customer and order date: no join is left."""
-    return items_by_customer.of(customer).select(*COLUMNS)
+    return items_by_customer.of(customer, *COLUMNS)
 
 
 def lookup_table(

@@ -21,12 +21,8 @@ Query = Callable[[Warehouse], DataFrame]
 
 def _doubles(df: DataFrame) -> DataFrame:
     """Decimals as doubles, for results that leave Spark."""
-    return df.select(
-        *[
-            F.col(name).cast("double").alias(name) if kind.startswith("decimal") else F.col(name)
-            for name, kind in df.dtypes
-        ]
-    )
+    amounts = [name for name, kind in df.dtypes if kind.startswith("decimal")]
+    return df.withColumns({name: F.col(name).cast("double") for name in amounts})
 
 
 # --- landing ---------------------------------------------------------------

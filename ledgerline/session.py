@@ -18,6 +18,8 @@ def local_session(folder: str, cpus: int | None = None, memory: str = "8g") -> S
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", str(cpus))
         .config("spark.sql.adaptive.enabled", "true")
+        # Without call sites for error messages, plans are built in fewer round trips.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.checkpoint.dir", f"{folder}/shared")
         .config("spark.sql.warehouse.dir", f"{folder}/warehouse")
