@@ -22,6 +22,8 @@ GENUINE_TEST_SKUS = (
 NUMERIC_TEXT = r"^-?[0-9]+(\.[0-9]+)?\z"
 INTEGER_TEXT = r"^-?[0-9]+\z"
 DIGITS_TEXT = r"^[0-9]+\z"
+# What a cast to a number accepts: padding, sign, exponent, but no thousands commas.
+CASTABLE_TEXT = r"^\s*[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?\s*\z"
 YEAR_MONTH_TEXT = r"^[0-9]{4}-[0-9]{1,2}\z"
 
 # One-letter fields accept padded and unpadded months and days.

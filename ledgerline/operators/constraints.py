@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -26,32 +26,38 @@ def pk_violations(df: DataFrame, table: str, key: str) -> DataFrame:
     )
 
 
-def _orphans(child: DataFrame, key: str, parent: DataFrame, parent_key: str) -> DataFrame:
-    """Non-NULL child keys, counted before the join, that the parent lacks."""
-    used = child.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("rows"))
-    known = parent.select(F.col(parent_key).alias(key))
-    return used.join(known, key, "left_anti")
+def _unmatched(child: DataFrame, key: str, parent: DataFrame, parent_key: str) -> DataFrame:
+    """(key, rows) per child key, counted before the join, that no parent row matches.
+
+    NULL is one of them: it matches nothing, which a foreign key allows.
+    """
+    used = child.groupBy(key).agg(F.count("*").alias("rows"))
+    return used.join(parent.select(F.col(parent_key).alias(key)), key, "left_anti")
 
 
 def fk_orphans(child: DataFrame, key: str, parent: DataFrame, parent_key: str) -> DataFrame:
     """(key, rows) for every child key without a parent row."""
-    return _orphans(child, key, parent, parent_key)
+    return _unmatched(child, key, parent, parent_key).where(F.col(key).isNotNull())
 
 
 def fk_violations(
     child: DataFrame, child_name: str, key: str, parent: DataFrame, parent_name: str, parent_key: str
 ) -> DataFrame:
     """One row: (constraint_name, orphan_keys, orphan_rows, null_rows); NULL keys are allowed."""
-    orphans = _orphans(child, key, parent, parent_key).agg(
-        F.count("*").alias("orphan_keys"), F.coalesce(F.sum("rows"), F.lit(0)).alias("orphan_rows")
-    )
-    nulls = child.agg(F.count_if(F.col(key).isNull()).alias("null_rows"))
+    rows, is_null = F.col("rows"), F.col(key).isNull()
+
+    def total(condition: Column) -> Column:
+        return F.coalesce(F.sum(F.when(condition, rows)), F.lit(0))
+
     label = f"{child_name}.{key} -> {parent_name}.{parent_key}"
-    return orphans.select(
-        F.lit(label).alias("constraint_name"),
-        "orphan_keys",
-        "orphan_rows",
-        nulls.scalar().alias("null_rows"),
+    return (
+        _unmatched(child, key, parent, parent_key)
+        .agg(
+            F.count(key).alias("orphan_keys"),
+            total(~is_null).alias("orphan_rows"),
+            total(is_null).alias("null_rows"),
+        )
+        .select(F.lit(label).alias("constraint_name"), "*")
     )
 
 

@@ -14,6 +14,7 @@ from ledgerline.functions.money import clean_money, gross_value, money, whole_nu
 from ledgerline.functions.text import (
     BACKSLASH_N,
     BLANK,
+    CASTABLE_TEXT,
     DIGITS_TEXT,
     INTEGER_TEXT,
     MISSING_TOKENS,
@@ -123,13 +124,19 @@ def sku_category_real_conflicts(staging: DataFrame) -> DataFrame:
 
 
 def sku_category_drilldown(staging: DataFrame, skus: list[str] | None = None) -> DataFrame:
-    """Rows per category of the given SKUs, or of all SKUs with real conflicts."""
-    if skus is not None:
-        rows = staging.where(F.col("sku").isin(*skus))
-    else:
-        conflicts = sku_category_real_conflicts(staging).select("sku")
-        rows = staging.join(conflicts, "sku", "left_semi")
-    return rows.groupBy("sku", "category_name_1").count()
+    """Rows per category of the given SKUs, or of all SKUs with real conflicts.
+
+    The conflicts are found in the counted categories, not in the rows again.
+    """
+    rows = staging if skus is None else staging.where(F.col("sku").isin(*skus))
+    counted = rows.groupBy("sku", "category_name_1").agg(
+        F.count("*").alias("count"), F.count_if(is_populated("item_id")).alias("populated")
+    )
+    if skus is None:
+        real = null_tokens("category_name_1", CATEGORY_TOKENS)
+        conflicts = checks.fd_check(counted.where(F.col("populated") > 0), "sku", real)
+        counted = counted.join(conflicts, "sku", "left_semi")
+    return counted.drop("populated")
 
 
 def category_fake_null_count(staging: DataFrame) -> DataFrame:
@@ -423,10 +430,11 @@ def _mv_differs_from(value: Column) -> Column:
 
 
 def mv_raw_cast(staging: DataFrame) -> DataFrame:
-    """Rows whose text does not cast as it stands, for its commas or its dash."""
-    return count_rows(
-        valid_rows(staging), F.col("mv").isNotNull() & money("mv").isNull(), "uncastable_rows"
-    )
+    """Rows whose text does not cast as it stands, for its commas or its dash.
+
+    The test is a pattern: a cast that fails on most rows is several times slower.
+    """
+    return count_rows(valid_rows(staging), not_matching("mv", CASTABLE_TEXT), "uncastable_rows")
 
 
 def mv_non_numeric_values(staging: DataFrame) -> DataFrame:

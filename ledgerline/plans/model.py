@@ -20,13 +20,7 @@ from ledgerline.functions.text import (
     null_tokens,
     parse_date,
 )
-from ledgerline.operators.checks import (
-    as_long,
-    count_rows,
-    length_violations,
-    majority_value,
-    valid_rows,
-)
+from ledgerline.operators.checks import as_long, count_rows, majority_value, valid_rows
 from ledgerline.operators.constraints import fk_violations, pk_violations
 from ledgerline.plans import audit
 

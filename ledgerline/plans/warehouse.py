@@ -38,6 +38,13 @@ class Warehouse:
         """A warehouse over the raw CSV export."""
         return cls(spark, lambda _: read_csv(spark, path), "csv")
 
+    @classmethod
+    def from_staging(cls, spark: SparkSession, staging: DataFrame) -> Warehouse:
+        """A warehouse over staging rows that are stored already, such as a published table."""
+        warehouse = cls(spark, lambda _: staging, "staging")
+        warehouse.workspace.keep("staging", staging)
+        return warehouse
+
     @classmethod
     def from_retail(cls, spark: SparkSession, folder: str) -> Warehouse:
         """A warehouse over retail tables in Parquet, rewritten as an export."""

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.functions.text import is_populated
 from ledgerline.operators import constraints
+from ledgerline.operators.checks import length_violations
 from ledgerline.plans import analytics, audit, lookup, model, reconcile, star
 from ledgerline.plans.warehouse import Warehouse, open_retail
 from ledgerline.sources.export import RAW_COLUMNS, read_csv
@@ -181,7 +182,7 @@ def _foreign_key(child: str, key: str, parent: str) -> Query:
 def model_length_limits(w: Warehouse) -> DataFrame:
     tables = w.model()
     reports = [
-        model.length_violations(tables[name], limits).select(F.lit(name).alias("table_name"), "*")
+        length_violations(tables[name], limits).select(F.lit(name).alias("table_name"), "*")
         for name, limits in model.LENGTH_LIMITS.items()
     ]
     combined = reports[0]

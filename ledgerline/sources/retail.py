@@ -43,10 +43,13 @@ def staging_from_retail(
     else:
         is_large = F.col("l_orderkey") == F.col("large_order")
         usual = lineitem.join(large, is_large, "left_anti")
-        outsized = lineitem.join(large, is_large, "left_semi")
+        # Equal lines differ in "copy", so that even copies of one line can be split. The
+        # number is given at the scan, where a task that runs again gives it alike.
+        copies = lineitem.withColumn("copy", F.monotonically_increasing_id())
+        outsized = copies.join(large, is_large, "left_semi")
         headers = orders.join(large, F.col("o_orderkey") == F.col("large_order"), "left_semi")
         totalled = _totalled_in_window(_lines(usual, part, orders)).unionByName(
-            _totalled_in_ranges(_lines(outsized, part, headers), workspace)
+            _totalled_in_ranges(_lines(outsized, part, headers, "copy"), workspace)
         )
 
     padding = orders.where(F.col("o_orderkey") % 3 == 0).select(
@@ -55,10 +58,11 @@ def staging_from_retail(
     return _as_export(totalled).unionByName(padding)
 
 
-def _lines(lineitem: DataFrame, part: DataFrame, orders: DataFrame) -> DataFrame:
+def _lines(lineitem: DataFrame, part: DataFrame, orders: DataFrame, *more: str) -> DataFrame:
+    """Lines with the columns of their order and part that the export needs."""
     pk = F.col("l_partkey")
     joined = (
-        lineitem.select("l_orderkey", *LINE_ORDER)
+        lineitem.select("l_orderkey", *LINE_ORDER, *more)
         .join(part.select("p_partkey", "p_name", "p_type", "p_retailprice"), pk == F.col("p_partkey"))
         .join(orders.drop("o_totalprice"), F.col("l_orderkey") == F.col("o_orderkey"))
     )
@@ -75,6 +79,7 @@ def _lines(lineitem: DataFrame, part: DataFrame, orders: DataFrame) -> DataFrame
         F.col("l_quantity").cast("int").alias("qty"),
         F.col("l_discount").cast("decimal(4,2)").alias("rate"),
         *LINE_ORDER,
+        *more,
     )
 
 
@@ -133,9 +138,7 @@ def _totalled_in_window(lines: DataFrame) -> DataFrame:
 
 def _totalled_in_ranges(lines: DataFrame, workspace: Workspace) -> DataFrame:
     """The same for outsized orders, whose lines are spread over range partitions."""
-    # Equal lines differ in "copy", so that even copies of one line can be split.
-    spread = lines.withColumn("copy", F.monotonically_increasing_id())
-    ranked = global_row_number(spread, ["ok", *LINE_ORDER, "copy"], workspace, "outsized_lines")
+    ranked = global_row_number(lines, ["ok", *LINE_ORDER, "copy"], workspace, "outsized_lines")
     starts = ranked.groupBy("ok").agg(F.min("row_number").alias("first_row"))
     numbered = (
         ranked.join(starts, "ok")
@@ -144,7 +147,7 @@ def _totalled_in_ranges(lines: DataFrame, workspace: Workspace) -> DataFrame:
     )
     priced = _with_amounts(numbered)
     sums = priced.groupBy("ok").agg(*[total.alias(name) for name, total in _order_sums().items()])
-    return priced.join(sums, "ok").select(*_totalled_in_window(lines).columns)
+    return priced.join(sums, "ok")
 
 
 def _as_export(totalled: DataFrame) -> DataFrame:

@@ -62,6 +62,11 @@ class Workspace:
                 self._tables[name] = reader.parquet(self.path(name))
             return self._tables[name]
 
+    def keep(self, name: str, table: DataFrame) -> None:
+        """Takes a table that is stored elsewhere under ``name``, without a copy."""
+        with self._lock:
+            self._tables[name] = table
+
     def folder(self, name: str, write: Callable[[str], None]) -> str:
         """The path ``name``; filled by ``write`` the first time it is asked for."""
         with self._lock:

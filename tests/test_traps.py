@@ -10,8 +10,15 @@ import pytest
 from ledgerline.functions import money as amounts
 from ledgerline.functions import text
 from ledgerline.operators import checks
-from ledgerline.operators.constraints import ConstraintError
+from ledgerline.operators.constraints import (
+    ConstraintError,
+    fk_orphans,
+    fk_violations,
+    pk_duplicates,
+    pk_violations,
+)
 from ledgerline.plans import analytics, audit, model, reconcile
+from ledgerline.plans.warehouse import Warehouse
 from ledgerline.sources.export import RAW_COLUMNS, read_csv, write_csv
 from tests.conftest import BLANK_ROW, PLAIN_ROW
 
@@ -79,6 +86,13 @@ def test_percent_rounds_half_away_and_survives_zero(spark):
     assert found == [12.5, 0.13, None, -0.13]
 
 
+def test_castable_text_is_what_a_cast_accepts(spark):
+    texts = [" 900 ", " 1,350 ", " - ", "-5", "+5", ".5", "5.", "1e3", "1e", "", " ", "abc", "1 2"]
+    castable = column_of(spark, texts, lambda c: ~text.not_matching(c, text.CASTABLE_TEXT))
+    cast = column_of(spark, texts, amounts.money)
+    assert castable == [found is not None for found in cast]
+
+
 # --- audit -----------------------------------------------------------------
 
 
@@ -278,6 +292,22 @@ def test_order_equal_after_parsing_is_one_order(warehouse_of):
     assert w.orders().count() == 1
 
 
+def test_orphans_are_found_and_null_is_allowed(spark):
+    child = spark.createDataFrame([("a",), ("b",), ("b",), (None,)], "k string")
+    parent = spark.createDataFrame([("a",)], "id string")
+    assert [tuple(r) for r in fk_orphans(child, "k", parent, "id").collect()] == [("b", 2)]
+    found = fk_violations(child, "c", "k", parent, "p", "id")
+    assert value(found) == ("c.k -> p.id", 1, 2, 1)
+
+
+def test_repeated_and_null_keys_are_found(spark):
+    table = spark.createDataFrame([("a",), ("a",), ("b",), (None,)], "k string")
+    assert value(pk_violations(table, "t", "k")) == ("t.k", 4, 1, 1)
+    assert sorted(map(str, [tuple(r) for r in pk_duplicates(table, "k").collect()])) == [
+        "('a', 2)", "(None, 1)",
+    ]
+
+
 def test_model_types(warehouse):
     assert dict(warehouse.order_items().dtypes)["gross_value"] == "decimal(18,4)"
     assert dict(warehouse.orders().dtypes)["order_date"] == "date"
@@ -286,7 +316,7 @@ def test_model_types(warehouse):
 
 def test_too_long_text_is_reported_not_cut(warehouse_of):
     w = warehouse_of({"sku": "x" * 101})
-    found = model.length_violations(w.products(), model.LENGTH_LIMITS["products"]).collect()
+    found = checks.length_violations(w.products(), model.LENGTH_LIMITS["products"]).collect()
     assert {(r.column_name, r.too_long) for r in found} == {("sku", 1), ("category_name", 0)}
     assert len(w.products().first().sku) == 101
 
@@ -338,6 +368,18 @@ def test_blank_csv_fields_stay_blank(spark, tmp_path):
     assert [r.sku for r in items] == [None]
 
 
+def test_warehouse_from_csv_equals_the_one_it_was_written_from(spark, warehouse):
+    again = Warehouse.from_csv(spark, warehouse.exported_csv())
+    for name, table in again.load_model().items():
+        assert sorted(map(str, table.collect())) == sorted(map(str, warehouse.model()[name].collect()))
+
+
+def test_warehouse_over_stored_staging_makes_no_copy(spark, warehouse):
+    again = Warehouse.from_staging(spark, warehouse.staging())
+    assert again.staging() is warehouse.staging()
+    assert again.orders().count() == warehouse.orders().count()
+
+
 def test_csv_round_trip(spark, staged, tmp_path):
     rows = staged({"mv": " 1,350 ", "sku": 'a "quoted", name', "category_name_1": "\\N"}, BLANK_ROW)
     write_csv(rows, str(tmp_path / "csv"))
