@@ -19,7 +19,7 @@ from ledgerline.sources.workspace import Workspace
 BUCKET = "bucket"
 ROWS_PER_BUCKET = 20_000_000
 MOST_BUCKETS = 4096
-ROWS_PER_FILE = 2_000_000
+ROWS_PER_FILE = 1_000_000
 
 # Small row groups and pages: a lookup reads one of them, not a whole file.
 SMALL_ROW_GROUPS = {"parquet.block.size": str(1024 * 1024), "parquet.page.size": str(64 * 1024)}

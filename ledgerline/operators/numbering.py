@@ -11,34 +11,52 @@ from ledgerline.sources.workspace import Workspace
 ONE_TASK_ROWS = 1_000_000
 
 
-def global_row_number(
-    df: DataFrame, order: list[str], workspace: Workspace, name: str
-) -> DataFrame:
-    """Adds ``row_number``, the 1-based position of each row in ``order``.
+def in_ranges(df: DataFrame, order: list[str], workspace: Workspace, name: str) -> DataFrame:
+    """``df`` range-partitioned by ``order`` and written, with its partition as ``range_no``.
 
-    Rows are range-partitioned and written, so that the partition of a row is
-    settled; a row's number is the size of the earlier partitions plus its
-    position inside its own. The size table holds one row per partition.
+    Writing settles which partition a row is in, also for tasks that run again.
     """
-    ranged = workspace.table(
+    return workspace.table(
         name,
         lambda: df.repartitionByRange(*order).withColumn("range_no", F.spark_partition_id()),
     )
-    earlier = Window.orderBy("range_no").rowsBetween(Window.unboundedPreceding, -1)
+
+
+def row_number_in_ranges(
+    ranged: DataFrame, order: list[str], keys: tuple[str, ...] = ()
+) -> DataFrame:
+    """Adds ``row_number``, the 1-based position of each row in ``order``, per value of ``keys``.
+
+    The number is the size of the earlier ranges plus the position inside the
+    row's own. Both are computed per range, so a key that fills many ranges is
+    never in one task; sizes are one row per range and key.
+    """
+    piece = ["range_no", *keys]
+    earlier = (
+        Window.partitionBy(*keys).orderBy("range_no").rowsBetween(Window.unboundedPreceding, -1)
+    )
     starts = (
-        ranged.groupBy("range_no")
+        ranged.groupBy(*piece)
         .count()
-        .select("range_no", F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("before"))
+        .select(*piece, F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("before"))
     )
-    inside = F.row_number().over(Window.partitionBy("range_no").orderBy(*order))
+    inside = F.row_number().over(Window.partitionBy(*piece).orderBy(*order))
     return (
         ranged.withColumn("inside", inside)
-        .join(F.broadcast(starts), "range_no")
+        .join(starts, piece)
         .withColumn("row_number", F.col("before") + F.col("inside"))
-        .drop("range_no", "inside", "before")
+        .drop("inside", "before")
     )
 
 
+def global_row_number(
+    df: DataFrame, order: list[str], workspace: Workspace, name: str
+) -> DataFrame:
+    """Adds ``row_number``, the position of each row of the whole table in ``order``."""
+    ranged = in_ranges(df, order, workspace, name)
+    return row_number_in_ranges(ranged, order).drop("range_no")
+
+
 def add_ntiles(
     df: DataFrame,
     orders: dict[str, list[str]],

@@ -196,15 +196,14 @@ def internal_customer_profile(staging: DataFrame, customers: list[str] | None =
     """Orders per payment method of the given customers, or of all with an internal order."""
     rows = valid_rows(staging)
     if customers is not None:
-        chosen = rows.where(F.col("customer_id").isin(*customers))
-    else:
-        suspects = rows.where(is_internal()).select("customer_id").distinct()
-        chosen = rows.join(suspects, "customer_id", "left_semi")
-    return (
-        chosen.groupBy("customer_id", "payment_method")
-        .agg(F.count_distinct("increment_id").alias("orders"))
-        .orderBy("customer_id", "payment_method")
+        rows = rows.where(F.col("customer_id").isin(*customers))
+    profile = rows.groupBy("customer_id", "payment_method").agg(
+        F.count_distinct("increment_id").alias("orders")
     )
+    if customers is None:
+        suspects = profile.where(is_internal()).select("customer_id")
+        profile = profile.join(suspects, "customer_id", "left_semi")
+    return profile.orderBy("customer_id", "payment_method")
 
 
 def service_accounts(staging: DataFrame) -> DataFrame:

@@ -1,8 +1,9 @@
 """The normalized model: customers, products, orders and order items from staging.
 
-Two exclusion tables carry all cascades. Both hold the few bad keys instead of
-the many good ones, are written once, and are then joined at whatever strategy
-their true size allows.
+All exclusion rules are about orders, so staging is reduced once to one row per
+order, and the rules run on that. What they give is a table of the few orders to
+leave out, which is written and then joined at whatever strategy its true size
+allows.
 """
 
 from __future__ import annotations
@@ -20,7 +21,13 @@ from ledgerline.functions.text import (
     null_tokens,
     parse_date,
 )
-from ledgerline.operators.checks import as_long, count_rows, majority_value, valid_rows
+from ledgerline.operators.checks import (
+    as_long,
+    count_rows,
+    majority_value,
+    valid_rows,
+    wholly_matching_groups,
+)
 from ledgerline.operators.constraints import fk_violations, pk_violations
 from ledgerline.plans import audit
 
@@ -46,60 +53,94 @@ FOREIGN_KEYS = (
 )
 
 
-def build_service_accounts(staging: DataFrame) -> DataFrame:
-    return audit.service_accounts(staging).select("customer_id")
+def build_order_flags(staging: DataFrame) -> DataFrame:
+    """What the exclusion rules ask of an order, one row per order (and customer)."""
+    return (
+        valid_rows(staging)
+        .where(F.col("increment_id").isNotNull())
+        .groupBy("increment_id", "customer_id", "customer_since")
+        .agg(
+            F.coalesce(F.bool_or(is_regular_sku("sku")), F.lit(False)).alias("has_regular_sku"),
+            F.coalesce(F.bool_or(audit.is_internal()), F.lit(False)).alias("has_internal_payment"),
+        )
+    )
+
+
+def build_service_accounts(order_flags: DataFrame) -> DataFrame:
+    """Customers all of whose orders are internal bookings."""
+    counted = wholly_matching_groups(
+        order_flags.where(is_populated("customer_id")),
+        "customer_id", "increment_id", F.col("has_internal_payment"), "orders", "internal",
+    )
+    return counted.where(F.col("orders") == F.col("internal")).select("customer_id")
 
 
-def build_excluded_orders(staging: DataFrame, service_accounts: DataFrame) -> DataFrame:
+def build_excluded_orders(order_flags: DataFrame, service_accounts: DataFrame) -> DataFrame:
     """Orders that must not enter the model, with the reason.
 
     An order stays if it has a row with a regular SKU and a row of a customer
-    who is no service account. Orders without any regular SKU are test-only.
+    who is no service account. Only orders with an internal payment can belong
+    to a service account, so only these few are looked up.
     """
+    internal, named = F.col("has_internal_payment"), F.col("customer_id").isNotNull()
     flagged = service_accounts.select("customer_id", F.lit(True).alias("is_service"))
-    rows = (
-        valid_rows(staging)
-        .select("increment_id", "customer_id", is_regular_sku("sku").alias("regular"))
+    usual = order_flags.where(~internal).withColumn("has_customer", named)
+    booked = (
+        order_flags.where(internal)
         .join(flagged, "customer_id", "left")
+        .withColumn("has_customer", named & F.col("is_service").isNull())
     )
-    kept_customer = F.col("customer_id").isNotNull() & F.col("is_service").isNull()
-    per_order = rows.groupBy("increment_id").agg(
-        F.coalesce(F.bool_or("regular"), F.lit(False)).alias("has_regular_sku"),
-        F.bool_or(kept_customer).alias("has_customer"),
+    columns = ["increment_id", "has_regular_sku", "has_customer"]
+    per_order = (
+        usual.select(*columns)
+        .unionByName(booked.select(*columns))
+        .groupBy("increment_id")
+        .agg(F.bool_or("has_regular_sku").alias("regular"), F.bool_or("has_customer").alias("owned"))
     )
-    return per_order.where(~F.col("has_regular_sku") | ~F.col("has_customer")).select(
-        "increment_id", (~F.col("has_regular_sku")).alias("is_test_only")
+    return per_order.where(~F.col("regular") | ~F.col("owned")).select(
+        "increment_id", (~F.col("regular")).alias("is_test_only")
     )
 
 
-def customer_key() -> Column:
-    return null_tokens("customer_id").try_cast("bigint")
-
-
-def _order_rows(
-    staging: DataFrame, service_accounts: DataFrame, excluded_orders: DataFrame, *columns: str
+def build_split_orders(
+    order_flags: DataFrame, service_accounts: DataFrame, excluded_orders: DataFrame
 ) -> DataFrame:
-    """Rows of accepted customers in accepted orders, with the named columns."""
+    """Service accounts that share an order with another customer: only their rows go.
+
+    Empty as long as every order has one customer.
+    """
     return (
-        valid_rows(staging)
-        .where(F.col("increment_id").isNotNull() & F.col("customer_id").isNotNull())
-        .select(*dict.fromkeys(["increment_id", "customer_id", *columns]))
-        .join(service_accounts.select("customer_id"), "customer_id", "left_anti")
+        order_flags.where("has_internal_payment")
+        .select("increment_id", "customer_id")
+        .distinct()
+        .join(service_accounts, "customer_id", "left_semi")
         .join(excluded_orders.select("increment_id"), "increment_id", "left_anti")
     )
 
 
+def customer_key() -> Column:
+    return null_tokens("customer_id").try_cast("bigint")
+
+
+def _without_split(rows: DataFrame, split_orders: DataFrame | None) -> DataFrame:
+    if split_orders is None:
+        return rows
+    return rows.join(split_orders, ["increment_id", "customer_id"], "left_anti")
+
+
 def build_customers(
-    staging: DataFrame, service_accounts: DataFrame, excluded_orders: DataFrame
+    order_flags: DataFrame, excluded_orders: DataFrame, split_orders: DataFrame | None = None
 ) -> DataFrame:
-    rows = _order_rows(
-        staging.where(null_tokens("customer_id").isNotNull()),
-        service_accounts, excluded_orders, "customer_since",
+    known = order_flags.where(null_tokens("customer_id").isNotNull())
+    return (
+        _without_split(known, split_orders)
+        .join(excluded_orders.select("increment_id"), "increment_id", "left_anti")
+        .select(
+            customer_key().alias("customer_id"),
+            parse_date(null_tokens("customer_since"), SINCE_FORMAT).alias("customer_since"),
+        )
+        .distinct()
     )
-    return rows.select(
-        customer_key().alias("customer_id"),
-        parse_date(null_tokens("customer_since"), SINCE_FORMAT).alias("customer_since"),
-    ).distinct()
 
 
 def build_products(staging: DataFrame) -> DataFrame:
@@ -108,18 +149,22 @@ def build_products(staging: DataFrame) -> DataFrame:
 
 
 def build_orders(
-    staging: DataFrame, service_accounts: DataFrame, excluded_orders: DataFrame
+    staging: DataFrame, excluded_orders: DataFrame, split_orders: DataFrame | None = None
 ) -> DataFrame:
-    columns = ("created_at", "payment_method", "status", "grand_total")
-    rows = _order_rows(staging, service_accounts, excluded_orders, *columns)
-    return rows.select(
+    """One row per accepted order; rows are reduced to orders before they are joined."""
+    rows = valid_rows(staging).where(
+        F.col("increment_id").isNotNull() & F.col("customer_id").isNotNull()
+    )
+    headers = _without_split(rows, split_orders).select(
         "increment_id",
         customer_key().alias("customer_id"),
         parse_date("created_at", ORDER_DATE_FORMAT).alias("order_date"),
         "payment_method",
         F.nullif("status", F.lit(BLANK)).alias("status"),
         money("grand_total").alias("grand_total"),
-    ).distinct()
+    )
+    excluded = excluded_orders.select("increment_id")
+    return headers.distinct().join(excluded, "increment_id", "left_anti")
 
 
 def build_order_items(staging: DataFrame, excluded_orders: DataFrame) -> DataFrame:

@@ -30,6 +30,7 @@ class Warehouse:
         self.spark = spark
         self.workspace = Workspace(spark, label)
         self._land = land
+        self._has_split: bool | None = None
         self._lookup: dict[str, Clustered] = {}
         self._lookup_lock = threading.Lock()
 
@@ -57,26 +58,45 @@ class Warehouse:
         """Path of the staging rows as CSV, written the first time it is asked for."""
         return self.workspace.folder("export_csv", lambda path: write_csv(self.staging(), path))
 
+    def order_flags(self) -> DataFrame:
+        return self.workspace.table("order_flags", lambda: model.build_order_flags(self.staging()))
+
     def service_accounts(self) -> DataFrame:
         return self.workspace.table(
-            "service_accounts", lambda: model.build_service_accounts(self.staging())
+            "service_accounts", lambda: model.build_service_accounts(self.order_flags())
         )
 
     def excluded_orders(self) -> DataFrame:
         return self.workspace.table(
             "excluded_orders",
-            lambda: model.build_excluded_orders(self.staging(), self.service_accounts()),
+            lambda: model.build_excluded_orders(self.order_flags(), self.service_accounts()),
+        )
+
+    def split_orders(self) -> DataFrame | None:
+        """None in the usual case that no service account shares an order."""
+        if self._has_split is None:
+            self._has_split = not self._split_table().isEmpty()
+        return self._split_table() if self._has_split else None
+
+    def _split_table(self) -> DataFrame:
+        return self.workspace.table(
+            "split_orders",
+            lambda: model.build_split_orders(
+                self.order_flags(), self.service_accounts(), self.excluded_orders()
+            ),
         )
 
     def build(self, name: str) -> DataFrame:
-        """The plan that builds a model table from staging."""
-        staging = self.staging()
+        """The plan that builds a model table."""
         if name == "products":
-            return model.build_products(staging)
+            return model.build_products(self.staging())
         if name == "order_items":
-            return model.build_order_items(staging, self.excluded_orders())
-        build = {"customers": model.build_customers, "orders": model.build_orders}[name]
-        return build(staging, self.service_accounts(), self.excluded_orders())
+            return model.build_order_items(self.staging(), self.excluded_orders())
+        if name == "orders":
+            return model.build_orders(self.staging(), self.excluded_orders(), self.split_orders())
+        return model.build_customers(
+            self.order_flags(), self.excluded_orders(), self.split_orders()
+        )
 
     def customers(self) -> DataFrame:
         return self.workspace.table("customers", lambda: self.build("customers"))

@@ -208,7 +208,9 @@ MODEL: dict[str, Query] = {
     "pk_order_items": _primary_key("order_items"),
     "fk_items_orders": _foreign_key("order_items", "increment_id", "orders"),
     "fk_items_products": _foreign_key("order_items", "sku", "products"),
-    "model_excluded_orders": lambda w: model.build_excluded_orders(w.staging(), w.service_accounts()),
+    "model_excluded_orders": lambda w: model.build_excluded_orders(
+        w.order_flags(), w.service_accounts()
+    ),
     "model_length_limits": model_length_limits,
     "model_unparsed_values": model_unparsed_values,
     "oltp_row_counts": lambda w: model.row_counts(w.model()),
@@ -221,7 +223,7 @@ MODEL: dict[str, Query] = {
     "recon_uncategorized_impact": lambda w: reconcile.uncategorized_impact(
         w.order_items(), w.products()
     ),
-    "recon_ledger": lambda w: reconcile.ledger(w.staging(), w.service_accounts(), w.model()),
+    "recon_ledger": lambda w: reconcile.ledger(w.staging(), w.model()),
 }
 
 # --- lookup and layout -----------------------------------------------------

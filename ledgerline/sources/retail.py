@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerline.functions.text import BACKSLASH_N, GENUINE_TEST_SKUS, SPREADSHEET_NA
-from ledgerline.operators.numbering import global_row_number
+from ledgerline.operators.numbering import in_ranges, row_number_in_ranges
 from ledgerline.sources.export import STAGING_COLUMNS
 from ledgerline.sources.workspace import Workspace
 
@@ -137,17 +137,25 @@ def _totalled_in_window(lines: DataFrame) -> DataFrame:
 
 
 def _totalled_in_ranges(lines: DataFrame, workspace: Workspace) -> DataFrame:
-    """The same for outsized orders, whose lines are spread over range partitions."""
-    ranked = global_row_number(lines, ["ok", *LINE_ORDER, "copy"], workspace, "outsized_lines")
-    starts = ranked.groupBy("ok").agg(F.min("row_number").alias("first_row"))
-    numbered = (
-        ranked.join(starts, "ok")
-        .withColumn("line_no", F.col("row_number") - F.col("first_row") + 1)
-        .drop("row_number", "first_row", "copy")
+    """The same for outsized orders, whose lines are spread over range partitions.
+
+    Every step works on the piece of an order that lies in one range; pieces are
+    few, so numbers and sums of whole orders come from a table of pieces.
+    """
+    order, piece = [*LINE_ORDER, "copy"], ["range_no", "ok"]
+    ranged = in_ranges(lines, ["ok", *order], workspace, "outsized_lines")
+    numbered = row_number_in_ranges(ranged, order, ("ok",))
+    priced = _with_amounts(numbered.withColumnRenamed("row_number", "line_no").drop("copy"))
+    sums = _order_sums()
+    whole_order = Window.partitionBy("ok")
+    of_pieces = priced.groupBy(*piece).agg(*[total.alias(name) for name, total in sums.items()])
+    of_orders = of_pieces.select(
+        *piece,
+        F.sum("order_gross").over(whole_order).alias("order_gross"),
+        F.sum("order_discount").over(whole_order).alias("order_discount"),
+        F.max("largest_discount").over(whole_order).alias("largest_discount"),
     )
-    priced = _with_amounts(numbered)
-    sums = priced.groupBy("ok").agg(*[total.alias(name) for name, total in _order_sums().items()])
-    return priced.join(sums, "ok")
+    return priced.join(of_orders, piece).drop("range_no")
 
 
 def _as_export(totalled: DataFrame) -> DataFrame:
