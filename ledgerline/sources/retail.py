@@ -47,7 +47,10 @@ def staging_from_retail(
         # number is given at the scan, where a task that runs again gives it alike.
         copies = lineitem.withColumn("copy", F.monotonically_increasing_id())
         outsized = copies.join(large, is_large, "left_semi")
-        headers = orders.join(large, F.col("o_orderkey") == F.col("large_order"), "left_semi")
+        is_header = F.col("o_orderkey") == F.col("large_order")
+        headers = workspace.table(
+            "large_order_headers", lambda: orders.join(large, is_header, "left_semi")
+        )
         totalled = _totalled_in_window(_lines(usual, part, orders)).unionByName(
             _totalled_in_ranges(_lines(outsized, part, headers, "copy"), workspace)
         )
