@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerline.llm import packing
+from ledgerline.llm import fingerprint, packing, token_spans
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,11 +15,21 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
+def op2_fingerprint(spark: SparkSession, folder: str) -> DataFrame:
+    return fingerprint.compare_with_edits(_table(spark, folder, "documents"))
+
+
+def op8_token_spans(spark: SparkSession, folder: str) -> DataFrame:
+    return token_spans.count_tokens(_table(spark, folder, "documents"))
+
+
 def op9_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(_table(spark, folder, "documents"))
 
 
 QUERIES: dict[str, Query] = {
+    "op2_fingerprint": op2_fingerprint,
+    "op8_token_spans": op8_token_spans,
     "op9_packing": op9_packing,
 }
 
