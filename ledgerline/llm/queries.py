@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerline.llm import fingerprint, packing, token_spans
+from ledgerline.llm import fingerprint, langid, packing, quality, token_spans
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,10 +15,18 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
+def op1_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    return langid.predict_languages(_table(spark, folder, "documents"))
+
+
 def op2_fingerprint(spark: SparkSession, folder: str) -> DataFrame:
     return fingerprint.compare_with_edits(_table(spark, folder, "documents"))
 
 
+def op5_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.judge_documents(_table(spark, folder, "documents"))
+
+
 def op8_token_spans(spark: SparkSession, folder: str) -> DataFrame:
     return token_spans.count_tokens(_table(spark, folder, "documents"))
 
@@ -28,7 +36,9 @@ def op9_packing(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_language_id": op1_language_id,
     "op2_fingerprint": op2_fingerprint,
+    "op5_quality_rules": op5_quality_rules,
     "op8_token_spans": op8_token_spans,
     "op9_packing": op9_packing,
 }
