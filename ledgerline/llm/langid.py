@@ -22,10 +22,11 @@ from functools import cache, partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ledgerline.llm.sampling import held_out, per_label, texts_of
 from ledgerline.llm.text import bound_batches, slices
 
 DIMENSIONS = 1024
@@ -133,21 +134,7 @@ def learn(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> tuple[list[s
     What comes to the driver is one vector per language and task of the sample.
     """
     bound_batches(labelled.sparkSession)
-    known = labelled.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = (
-        known.select("lang", "doc_id")
-        .withColumn("place", F.row_number().over(first))
-        .where(F.col("place") <= per_language)
-        .select("doc_id", "lang")
-        .distinct()
-    )
-    # One text per document, also if its row is repeated.
-    sample = (
-        known.join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi")
-        .groupBy("doc_id", "lang")
-        .agg(F.min("text").alias("text"))
-    )
+    sample = texts_of(labelled, per_label(labelled, "lang", per_language))
     rows = sample.select("text", "lang").mapInArrow(_bundled, "lang string, bundle string").collect()
     sums: dict[str, np.ndarray] = {}
     for lang, bundle in sorted(map(tuple, rows)):
@@ -196,11 +183,6 @@ def identify(
     return kept.mapInArrow(run, schema)
 
 
-def held_out(doc_id: Column) -> Column:
-    """Whether a document takes no part in learning; a NULL id is not held out."""
-    return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
-
-
 def predict_languages(docs: DataFrame) -> DataFrame:
     """The prediction for every document, with ``held_out`` for those not learned from."""
     model = learn(docs.select("doc_id", "text", "lang").where(~held_out(F.col("doc_id"))))

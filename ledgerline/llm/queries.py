@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerline.llm import fingerprint, langid, packing, quality, token_spans
+from ledgerline.llm import fingerprint, langid, packing, quality, token_spans, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,6 +23,12 @@ def op2_fingerprint(spark: SparkSession, folder: str) -> DataFrame:
     return fingerprint.compare_with_edits(_table(spark, folder, "documents"))
 
 
+def op4_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.score_documents(
+        _table(spark, folder, "documents"), _table(spark, folder, "labels")
+    )
+
+
 def op5_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality.judge_documents(_table(spark, folder, "documents"))
 
@@ -38,6 +44,7 @@ def op9_packing(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_language_id": op1_language_id,
     "op2_fingerprint": op2_fingerprint,
+    "op4_toxicity": op4_toxicity,
     "op5_quality_rules": op5_quality_rules,
     "op8_token_spans": op8_token_spans,
     "op9_packing": op9_packing,
