@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerline.llm import fingerprint, langid, packing, quality, token_spans, toxicity
+from ledgerline.llm import fingerprint, langid, mixing, packing, quality, token_spans, toxicity
+from ledgerline.sources.workspace import Workspace
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,6 +24,11 @@ def op2_fingerprint(spark: SparkSession, folder: str) -> DataFrame:
     return fingerprint.compare_with_edits(_table(spark, folder, "documents"))
 
 
+def op3_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents")
+    return mixing.mix_documents(docs, Workspace(spark, "mixing"))
+
+
 def op4_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.score_documents(
         _table(spark, folder, "documents"), _table(spark, folder, "labels")
@@ -44,6 +50,7 @@ def op9_packing(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_language_id": op1_language_id,
     "op2_fingerprint": op2_fingerprint,
+    "op3_mixing": op3_mixing,
     "op4_toxicity": op4_toxicity,
     "op5_quality_rules": op5_quality_rules,
     "op8_token_spans": op8_token_spans,
