@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerline.llm import fingerprint, langid, mixing, packing, quality, token_spans, toxicity
+from ledgerline.llm import fingerprint, langid, mixing, packing, quality, token_spans, toxicity, warc
 from ledgerline.sources.workspace import Workspace
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -39,6 +39,10 @@ def op5_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality.judge_documents(_table(spark, folder, "documents"))
 
 
+def op6_warc(spark: SparkSession, folder: str) -> DataFrame:
+    return warc.round_trip(_table(spark, folder, "pages"), Workspace(spark, "warc"))
+
+
 def op8_token_spans(spark: SparkSession, folder: str) -> DataFrame:
     return token_spans.count_tokens(_table(spark, folder, "documents"))
 
@@ -53,8 +57,29 @@ QUERIES: dict[str, Query] = {
     "op3_mixing": op3_mixing,
     "op4_toxicity": op4_toxicity,
     "op5_quality_rules": op5_quality_rules,
+    "op6_warc": op6_warc,
     "op8_token_spans": op8_token_spans,
     "op9_packing": op9_packing,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+# Bare upper-case base 32 of SHA-1: five hexadecimal digits are four characters.
+OP6_SQL = """
+WITH hashed AS (
+    SELECT page_id, coalesce(html, '') AS payload, sha1(coalesce(html, '')) AS hex FROM pages
+), grouped AS (
+    SELECT *, max(page_id) OVER (PARTITION BY payload) AS response FROM hashed
+)
+SELECT
+    page_id,
+    CAST(strlen(payload) AS BIGINT) AS payload_bytes,
+    list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+        CAST(1 + ((CAST('0x' || substr(hex, CAST(1 + 5 * (i // 4) AS BIGINT), 5) AS BIGINT)
+            >> CAST(15 - 5 * (i % 4) AS BIGINT)) & 31) AS BIGINT), 1)), 'string_agg', '') AS payload_digest,
+    CASE WHEN page_id < response THEN 'revisit' ELSE 'response' END AS record_type,
+    CASE WHEN page_id < response THEN response END AS refers_to
+FROM grouped
+"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op6_warc": OP6_SQL,
+}
