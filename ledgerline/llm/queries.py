@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerline.llm import fingerprint, langid, mixing, packing, quality, token_spans, toxicity, warc
+from ledgerline.llm import fingerprint, langid, mixing, packing, quality, quotes, token_spans, toxicity, warc
 from ledgerline.sources.workspace import Workspace
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -51,6 +51,10 @@ def op9_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(_table(spark, folder, "documents"))
 
 
+def op10_quotes(spark: SparkSession, folder: str) -> DataFrame:
+    return quotes.link_quotes(_table(spark, folder, "conversations"), Workspace(spark, "quotes"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_language_id": op1_language_id,
     "op2_fingerprint": op2_fingerprint,
@@ -60,6 +64,7 @@ QUERIES: dict[str, Query] = {
     "op6_warc": op6_warc,
     "op8_token_spans": op8_token_spans,
     "op9_packing": op9_packing,
+    "op10_quotes": op10_quotes,
 }
 
 # Bare upper-case base 32 of SHA-1: five hexadecimal digits are four characters.
@@ -80,6 +85,65 @@ SELECT
 FROM grouped
 """
 
+OP10_SQL = r"""
+WITH RECURSIVE messages AS (
+    SELECT conv_id, turn, role, text, string_split_regex(coalesce(text, ''), '\r?\n') AS parts
+    FROM conversations
+), numbered AS (
+    SELECT row_number() OVER () AS message, * FROM messages
+), lines AS (
+    SELECT message, conv_id, turn, unnest(parts) AS line, generate_subscripts(parts, 1) AS line_no
+    FROM numbered
+), levelled AS (
+    SELECT *, length(regexp_replace(regexp_extract(line, '^[ \t]*((?:>[ \t]?)+)', 1), '[^>]', '', 'g')) AS level,
+        trim(regexp_replace(lower(regexp_replace(line, '^[ \t]*((?:>[ \t]?)+)', '')), '[^\p{L}\p{N}]+', ' ', 'g')) AS plain
+    FROM lines
+), originals AS (
+    SELECT conv_id, plain, min(turn) AS original FROM levelled
+    WHERE level = 0 AND length(plain) >= 8 AND conv_id IS NOT NULL AND turn IS NOT NULL
+    GROUP BY conv_id, plain
+), linked AS (
+    SELECT message, level, original, count(*) AS n
+    FROM levelled JOIN originals USING (conv_id, plain)
+    WHERE level > 0 AND original < turn
+    GROUP BY message, level, original
+), replies AS (
+    SELECT message, sum(n) OVER (PARTITION BY message) AS linked_lines, original AS reply_to
+    FROM linked
+    QUALIFY row_number() OVER (PARTITION BY message ORDER BY level, n DESC, original DESC) = 1
+), links AS (
+    SELECT conv_id, turn, max(reply_to) AS reply_to
+    FROM replies JOIN numbered USING (message) GROUP BY conv_id, turn
+), threads AS (
+    SELECT conv_id, turn, reply_to AS thread, 1 AS depth FROM links
+    UNION ALL
+    SELECT t.conv_id, t.turn, l.reply_to, t.depth + 1
+    FROM threads t JOIN links l ON l.conv_id = t.conv_id AND l.turn = t.thread
+), roots AS (
+    SELECT conv_id, turn, min(thread) AS thread, max(depth) AS depth FROM threads GROUP BY conv_id, turn
+), own AS (
+    SELECT message,
+        string_agg(line, chr(10) ORDER BY line_no) FILTER (NOT goes) AS own_text,
+        count(*) FILTER (level > 0) AS quoted_lines, max(level) AS deepest_quote
+    FROM (SELECT *, level > 0
+            OR (regexp_matches(line, '(?i)^.*\b(wrote|writes|said|schrieb|écrit|escribió)\b.*:[ \t]*$')
+                AND coalesce(lead(level) OVER (PARTITION BY message ORDER BY line_no) > 0, false)) AS goes
+        FROM levelled)
+    GROUP BY message
+), answered AS (
+    SELECT n.conv_id, n.turn, n.role,
+        regexp_replace(coalesce(o.own_text, ''), '^\s*\n|\s+$', '', 'g') AS own_text,
+        o.quoted_lines, CAST(o.deepest_quote AS BIGINT) AS deepest_quote,
+        CAST(coalesce(r.linked_lines, 0) AS BIGINT) AS linked_lines, r.reply_to,
+        coalesce(t.thread, n.turn) AS thread, CAST(coalesce(t.depth, 0) AS BIGINT) AS depth
+    FROM numbered n JOIN own o USING (message) LEFT JOIN replies r USING (message)
+    LEFT JOIN roots t ON t.conv_id = n.conv_id AND t.turn = n.turn
+)
+SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY thread, turn, own_text, role) AS position
+FROM answered
+"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op10_quotes": OP10_SQL,
     "op6_warc": OP6_SQL,
 }
