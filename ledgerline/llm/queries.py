@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerline.llm import fingerprint, langid, mixing, packing, quality, quotes, token_spans, toxicity, warc
+from ledgerline.llm import fingerprint, jaccard_join, langid, mixing, packing, quality, quotes, token_spans, toxicity, warc
 from ledgerline.sources.workspace import Workspace
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -43,6 +43,12 @@ def op6_warc(spark: SparkSession, folder: str) -> DataFrame:
     return warc.round_trip(_table(spark, folder, "pages"), Workspace(spark, "warc"))
 
 
+def op7_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents")
+    rule = jaccard_join.Rule(words=4, percent=85)
+    return jaccard_join.JaccardJoin(docs, Workspace(spark, "jaccard"), rule).classes()
+
+
 def op8_token_spans(spark: SparkSession, folder: str) -> DataFrame:
     return token_spans.count_tokens(_table(spark, folder, "documents"))
 
@@ -62,6 +68,7 @@ QUERIES: dict[str, Query] = {
     "op4_toxicity": op4_toxicity,
     "op5_quality_rules": op5_quality_rules,
     "op6_warc": op6_warc,
+    "op7_jaccard_join": op7_jaccard_join,
     "op8_token_spans": op8_token_spans,
     "op9_packing": op9_packing,
     "op10_quotes": op10_quotes,
@@ -143,7 +150,39 @@ SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY thread, turn, own_tex
 FROM answered
 """
 
+# All pairs that share a shingle; classes by walking the links.
+OP7_SQL = r"""
+WITH RECURSIVE texts AS (
+    SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''),
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'),
+        lambda w: w <> '') AS words
+    FROM documents
+), sets AS (
+    SELECT doc_id, CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 4 THEN [array_to_string(words, ' ')]
+        ELSE list_distinct(list_transform(range(1, len(words) - 2),
+            lambda i: array_to_string(words[i:i + 3], ' '))) END AS shingles
+    FROM texts
+), sized AS (
+    SELECT doc_id, shingles, CAST(len(shingles) AS BIGINT) AS n FROM sets
+), parts AS (
+    SELECT doc_id, n, unnest(shingles) AS shingle FROM sized
+), links AS (
+    SELECT x.doc_id AS a, y.doc_id AS b
+    FROM parts x JOIN parts y ON x.shingle = y.shingle AND x.doc_id <> y.doc_id
+        AND 100 * least(x.n, y.n) >= 85 * greatest(x.n, y.n)
+    GROUP BY x.doc_id, y.doc_id, x.n, y.n
+    HAVING 100 * count(*) >= 85 * (x.n + y.n - count(*))
+), walk AS (
+    SELECT doc_id, doc_id AS reached FROM documents
+    UNION
+    SELECT w.doc_id, l.b FROM walk w JOIN links l ON l.a = w.reached
+)
+SELECT doc_id, any_value(n) AS n_shingles, min(reached) AS component_id
+FROM sized JOIN walk USING (doc_id) GROUP BY doc_id
+"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op7_jaccard_join": OP7_SQL,
     "op10_quotes": OP10_SQL,
     "op6_warc": OP6_SQL,
 }
