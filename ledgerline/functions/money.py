@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from ledgerline.functions.text import column
 
 MONEY = T.DecimalType(18, 4)
+EXACT = T.DecimalType(38, 20)
 
 
 def money(c: Column | str) -> Column:
@@ -27,8 +28,16 @@ def clean_money(c: Column | str) -> Column:
 
 
 def gross_value(price: Column | str, quantity: Column | str) -> Column:
-    """Price times quantity of parsed columns, before any discount."""
-    return (column(price) * column(quantity)).cast(MONEY)
+    """Price times quantity of parsed columns, before any discount.
+
+    The product keeps its own, wider type: no price and quantity can be too large for it.
+    """
+    return column(price) * column(quantity)
+
+
+def loses_digits(c: Column | str) -> Column:
+    """True for text that is an amount with more decimals than ``money`` keeps."""
+    return F.coalesce(column(c).try_cast(EXACT) != money(c), F.lit(False))
 
 
 WIDE = "decimal(24,4)"

@@ -73,9 +73,9 @@ def fd_summary(
 ) -> DataFrame:
     """(attribute, checked_keys, violating_keys) for attributes that a key should determine.
 
-    Rows are reduced to distinct combinations, about one per key where the rule
-    holds. Whether a key has several values then shows in minimum and maximum,
-    so no row is expanded per attribute as several distinct counts would need.
+    Whether a key has several values shows in minimum and maximum, which combine
+    before the shuffle, so a hot key arrives as one row per task, and no row is
+    expanded per attribute as several distinct counts would need.
     """
 
     def varies(name: str) -> Column:
@@ -84,7 +84,7 @@ def fd_summary(
             several = several | (F.min(name).isNotNull() & F.bool_or(F.col(name).isNull()))
         return several.alias(name)
 
-    rows = df.select(key, *[value.alias(name) for name, value in values.items()]).distinct()
+    rows = df.select(key, *[value.alias(name) for name, value in values.items()])
     per_key = rows.groupBy(key).agg(*[varies(name) for name in values])
     totals = per_key.agg(
         F.count("*").alias("checked_keys"), *[F.count_if(name).alias(name) for name in values]

@@ -66,7 +66,7 @@ class ConstraintError(ValueError):
 
 
 def require_no_violations(report: DataFrame, *counters: str) -> None:
-    """Raises if a counter of the (short) report is above zero."""
-    broken = report.where(F.greatest(*[F.col(c) for c in counters], F.lit(0)) > 0).take(20)
+    """Raises if a counter of the report, one row per constraint, is above zero."""
+    broken = report.where(F.greatest(*[F.col(c) for c in counters], F.lit(0)) > 0).collect()
     if broken:
         raise ConstraintError("; ".join(str(row.asDict()) for row in broken))

@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 from ledgerline.sources.workspace import Workspace
 
 BUCKET = "bucket"
-ROWS_PER_BUCKET = 20_000_000
-MOST_BUCKETS = 4096
+# Directories of a layout; a lookup lists one of them. More for larger tables.
+BUCKETS = 16
 ROWS_PER_FILE = 1_000_000
 
 # Small row groups and pages: a lookup reads one of them, not a whole file.
@@ -51,25 +51,23 @@ def clustered(
     workspace: Workspace,
     name: str,
     order: list[str],
-    rows: int,
-    bloom_filter: str | None = None,
-    rows_per_bucket: int = ROWS_PER_BUCKET,
+    buckets: int = BUCKETS,
     rows_per_file: int = ROWS_PER_FILE,
+    bloom_filter: str | None = None,
 ) -> Clustered:
     """``df`` written for lookups by the first column of ``order``.
 
-    ``rows`` is the size of ``df``, from which buckets and files are counted.
-    ``bloom_filter`` names a further column that row groups can be skipped by.
+    ``buckets`` is a property of the layout, whatever the size of ``df``; files hold at most
+    ``rows_per_file`` rows, and the width of the shuffle is the session's. ``bloom_filter``
+    names a further column that row groups can be skipped by.
     """
-    buckets = min(MOST_BUCKETS, rows // rows_per_bucket + 1)
-    files = rows // rows_per_file + 1
-    options = dict(SMALL_ROW_GROUPS)
+    options = dict(SMALL_ROW_GROUPS) | {"maxRecordsPerFile": str(rows_per_file)}
     if bloom_filter:
         options[f"parquet.bloom.filter.enabled#{bloom_filter}"] = "true"
 
     def build() -> DataFrame:
         placed = df.withColumn(BUCKET, bucket_of(F.col(order[0]), buckets))
-        return placed.repartitionByRange(files, BUCKET, *order).sortWithinPartitions(BUCKET, *order)
+        return placed.repartitionByRange(BUCKET, *order).sortWithinPartitions(BUCKET, *order)
 
     return Clustered(workspace.table(name, build, options, [BUCKET]), order[0], buckets)
 

@@ -7,10 +7,6 @@ from pyspark.sql import functions as F
 
 from ledgerline.sources.workspace import Workspace
 
-# Up to this many rows a plain window, which runs in one task, is the cheaper way.
-ONE_TASK_ROWS = 1_000_000
-
-
 def in_ranges(df: DataFrame, order: list[str], workspace: Workspace, name: str) -> DataFrame:
     """``df`` range-partitioned by ``order`` and written, with its partition as ``range_no``.
 
@@ -58,28 +54,21 @@ def global_row_number(
 
 
 def add_ntiles(
-    df: DataFrame,
-    orders: dict[str, list[str]],
-    buckets: int,
-    workspace: Workspace,
-    rows: int,
-    one_task_rows: int = ONE_TASK_ROWS,
+    df: DataFrame, orders: dict[str, list[str]], buckets: int, workspace: Workspace
 ) -> DataFrame:
-    """Adds one ``ntile`` column per entry of ``orders`` to a table of ``rows`` rows.
+    """Adds one ``ntile`` column per entry of ``orders``, from the row number in that order.
 
-    Each order must be total. Beyond ``one_task_rows`` the numbers come from
-    ``global_row_number``; both ways give the same groups.
+    Each order must be total. The number of rows is a subquery with one value. Names
+    are scoped to this call, so a workspace may serve several tables.
     """
-    if rows <= one_task_rows:
-        return df.withColumns(
-            {name: F.ntile(buckets).over(Window.orderBy(*order)) for name, order in orders.items()}
-        )
-    size, larger = divmod(rows, buckets)
+    scope = workspace.scope("ntiles")
+    rows = df.agg(F.count("*")).scalar()
+    size, larger = F.floor(rows / buckets), rows % buckets
     for name, order in orders.items():
-        df = global_row_number(df, order, workspace, f"ranges_of_{name}")
+        df = global_row_number(df, order, scope, f"ranges_of_{name}")
         position = F.col("row_number") - 1
         in_larger = F.floor(position / (size + 1))
-        in_rest = larger + F.floor((position - larger * (size + 1)) / max(size, 1))
+        in_rest = larger + F.floor((position - larger * (size + 1)) / F.greatest(size, F.lit(1)))
         tile = F.when(position < larger * (size + 1), in_larger).otherwise(in_rest) + 1
         df = df.withColumn(name, tile.cast("int")).drop("row_number")
     return df

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.functions.money import percent, ratio
 from ledgerline.operators.checks import share_of_total
-from ledgerline.operators.numbering import ONE_TASK_ROWS, add_ntiles
+from ledgerline.operators.numbering import add_ntiles
 from ledgerline.plans.audit import CREDIT_METHODS, INTERNAL_METHODS
 from ledgerline.sources.workspace import Workspace
 
@@ -18,8 +18,9 @@ AMOUNT = "decimal(28,4)"
 
 
 def is_money() -> Column:
-    """True for an order whose total counts as revenue."""
-    return ~F.col("payment_method").isin(*CREDIT_METHODS, *INTERNAL_METHODS)
+    """True for an order whose total counts as revenue; an unknown method is none."""
+    named = ~F.col("payment_method").isin(*CREDIT_METHODS, *INTERNAL_METHODS)
+    return F.coalesce(named, F.lit(False))
 
 
 def _total(amount: Column) -> Column:
@@ -60,11 +61,13 @@ def customer_activity(orders: DataFrame) -> DataFrame:
     )
 
 
-def rfm_segments(
-    orders: DataFrame, workspace: Workspace, one_task_rows: int = ONE_TASK_ROWS
-) -> DataFrame:
-    """Scores 1 to 5 for recency, frequency and money, and a segment per customer."""
-    activity = workspace.table("customer_activity", lambda: customer_activity(orders))
+def rfm_segments(orders: DataFrame, workspace: Workspace) -> DataFrame:
+    """Scores 1 to 5 for recency, frequency and money, and a segment per customer.
+
+    What is written on the way belongs to this call alone.
+    """
+    scope = workspace.scope("rfm")
+    activity = scope.table("customer_activity", lambda: customer_activity(orders))
     scored = add_ntiles(
         activity,
         {
@@ -73,9 +76,7 @@ def rfm_segments(
             "m_score": ["monetary", "customer_id"],
         },
         buckets=5,
-        workspace=workspace,
-        rows=activity.count(),
-        one_task_rows=one_task_rows,
+        workspace=scope,
     )
     latest = activity.agg(F.max("last_order")).scalar()
     r, f, m = F.col("r_score"), F.col("f_score"), F.col("m_score")
@@ -90,7 +91,7 @@ def rfm_segments(
         "customer_id",
         F.date_diff(latest, "last_order").cast("bigint").alias("recency_days"),
         "frequency",
-        F.col("monetary").cast("double").alias("monetary"),
+        "monetary",
         r.cast("bigint").alias("r_score"),
         f.cast("bigint").alias("f_score"),
         m.cast("bigint").alias("m_score"),
@@ -101,7 +102,7 @@ def rfm_segments(
 def rfm_summary(segments: DataFrame) -> DataFrame:
     return segments.groupBy("segment").agg(
         F.count("*").alias("customers"),
-        F.sum(F.col("monetary").cast(AMOUNT)).cast("double").alias("monetary"),
+        F.sum("monetary").alias("monetary"),
     )
 
 

@@ -48,6 +48,10 @@ def _gross() -> Column:
     return gross_value(money("price"), whole_number("qty_ordered"))
 
 
+def _first(rows: DataFrame, order: str, limit: int | None) -> DataFrame:
+    return rows if limit is None else rows.orderBy(F.asc_nulls_last(order)).limit(limit)
+
+
 def _as_double(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({name: F.col(name).cast("double") for name in columns})
 
@@ -249,42 +253,56 @@ def grand_total_drilldown(staging: DataFrame, items: list[str] | None = None) ->
     return _as_double(rows, "calculated_total", "actual_total")
 
 
-def grand_total_per_order(staging: DataFrame) -> DataFrame:
+def build_order_amounts(staging: DataFrame) -> DataFrame:
+    """Number of items, totals, discounts and gross value of every order, in one grouping.
+
+    All questions about amounts of orders read this table.
+    """
+    discount = F.abs(money("discount_amount"))
     return (
         valid_rows(staging)
         .groupBy("increment_id")
         .agg(
-            F.count("*").alias("items_in_order"),
+            F.count("*").alias("items"),
             F.count_distinct("grand_total").alias("distinct_totals"),
+            F.coalesce(F.min("discount_amount") == F.max("discount_amount"), F.lit(False)).alias(
+                "one_discount"
+            ),
+            F.sum(_gross()).alias("sum_gross"),
+            F.max(discount).alias("shared_discount"),
+            F.sum(discount).alias("summed_discount"),
+            F.max(money("grand_total")).alias("order_grand_total"),
         )
-        .where(F.col("items_in_order") > 1)
     )
 
 
-def grand_total_violations(staging: DataFrame) -> DataFrame:
-    per_order = grand_total_per_order(staging)
+def grand_total_per_order(order_amounts: DataFrame) -> DataFrame:
+    several = order_amounts.where(F.col("items") > 1)
+    return several.select("increment_id", F.col("items").alias("items_in_order"), "distinct_totals")
+
+
+def grand_total_violations(order_amounts: DataFrame) -> DataFrame:
+    per_order = grand_total_per_order(order_amounts)
     return per_order.where(F.col("distinct_totals") > 1).select("increment_id")
 
 
-def grand_total_violations_summary(staging: DataFrame) -> DataFrame:
+def grand_total_violations_summary(order_amounts: DataFrame) -> DataFrame:
     return count_each(
-        grand_total_per_order(staging),
+        grand_total_per_order(order_amounts),
         {"multi_item_orders": F.lit(True), "violating_orders": F.col("distinct_totals") > 1},
     )
 
 
+def build_zero_total_customers(staging: DataFrame) -> DataFrame:
+    """Customers with a total of zero, each once."""
+    return staging.where(money("grand_total") == 0).select("customer_id").distinct()
+
+
 def zero_total_drilldown(
-    staging: DataFrame, customers: list[str] | None = None, dates: list[str] | None = None
+    staging: DataFrame, customers: DataFrame, dates: list[str] | None = None
 ) -> DataFrame:
-    """Rows of the given customers and dates, or of every customer with a zero total."""
-    rows = staging
-    if customers is not None:
-        rows = rows.where(F.col("customer_id").isin(*customers))
-    else:
-        # Not made distinct: both sides then come straight from a shuffle, which is
-        # what adaptive execution needs to split the rows of a hot customer.
-        zero = staging.where(money("grand_total") == 0).select("customer_id")
-        rows = rows.join(zero, "customer_id", "left_semi")
+    """Rows of the given customers, one each in ``customers``, and dates."""
+    rows = staging.join(customers, "customer_id", "left_semi")
     if dates is not None:
         rows = rows.where(F.col("created_at").isin(*dates))
     return rows.select(
@@ -373,10 +391,10 @@ def non_numeric_increment_ids_summary(staging: DataFrame) -> DataFrame:
     )
 
 
-def customer_since_values(staging: DataFrame, limit: int = 20) -> DataFrame:
-    """The first ``limit`` distinct values in text order."""
+def customer_since_values(staging: DataFrame, limit: int | None = None) -> DataFrame:
+    """The distinct values, or the first of them in text order."""
     values = valid_rows(staging).select("customer_since").distinct()
-    return values.orderBy(F.asc_nulls_last("customer_since")).limit(limit)
+    return _first(values, "customer_since", limit)
 
 
 def customer_since_non_date(staging: DataFrame) -> DataFrame:
@@ -443,11 +461,10 @@ def mv_non_numeric_values(staging: DataFrame) -> DataFrame:
     return valid_rows(staging).where(not_matching(bare, NUMERIC_TEXT)).select("mv").distinct()
 
 
-def mv_dash_sample(staging: DataFrame, limit: int = 12) -> DataFrame:
-    """The first dash rows by item id."""
+def mv_dash_sample(staging: DataFrame, limit: int | None = None) -> DataFrame:
+    """The dash rows, or the first of them by item id."""
     columns = ["item_id", "price", "qty_ordered", "discount_amount", "mv", "status", "sku"]
-    rows = valid_rows(staging).where(_is_dash()).select(*columns)
-    return rows.orderBy("item_id").limit(limit)
+    return _first(valid_rows(staging).where(_is_dash()).select(*columns), "item_id", limit)
 
 
 def mv_dash_count(staging: DataFrame) -> DataFrame:
@@ -458,10 +475,10 @@ def mv_vs_gross(staging: DataFrame) -> DataFrame:
     return count_rows(valid_rows(staging), _mv_differs_from(_gross()))
 
 
-def mv_mismatch_sample(staging: DataFrame, limit: int = 20) -> DataFrame:
-    """The first differing rows by item id."""
+def mv_mismatch_sample(staging: DataFrame, limit: int | None = None) -> DataFrame:
+    """The differing rows, or the first of them by item id."""
     rows = valid_rows(staging).where(_mv_differs_from(_gross()))
-    return rows.orderBy("item_id").limit(limit).select("mv", "price", "qty_ordered")
+    return _first(rows, "item_id", limit).select("mv", "price", "qty_ordered")
 
 
 def mv_vs_rounded_gross(staging: DataFrame) -> DataFrame:
@@ -532,43 +549,34 @@ def discount_exceeds_gross(staging: DataFrame) -> DataFrame:
     return count_rows(valid_rows(staging), F.abs(money("discount_amount")) > _gross())
 
 
-def discount_candidates(staging: DataFrame) -> DataFrame:
+def discount_candidates(order_amounts: DataFrame) -> DataFrame:
     """Orders of several items that all carry the same discount, which is not zero."""
-    discount = F.abs(money("discount_amount"))
-    grouped = valid_rows(staging).groupBy("increment_id").agg(
-        F.count("*").alias("items"),
-        F.count_distinct("discount_amount").alias("distinct_discounts"),
-        F.sum(_gross()).alias("sum_gross"),
-        F.max(discount).alias("shared_discount"),
-        F.sum(discount).alias("summed_discount"),
-        F.max(money("grand_total")).alias("order_grand_total"),
-    )
-    repeated = (F.col("items") > 1) & (F.col("distinct_discounts") == 1)
-    return grouped.where(repeated & (F.col("shared_discount") != 0))
+    repeated = (F.col("items") > 1) & F.col("one_discount")
+    return order_amounts.where(repeated & (F.col("shared_discount") != 0))
 
 
 def _explained_by(discount: str) -> Column:
     return within(F.col("sum_gross") - F.col(discount), F.col("order_grand_total"))
 
 
-def discount_order_level(staging: DataFrame) -> DataFrame:
+def discount_order_level(order_amounts: DataFrame) -> DataFrame:
     fits = _explained_by("shared_discount")
     return count_each(
-        discount_candidates(staging),
+        discount_candidates(order_amounts),
         {"total_candidates": F.lit(True), "matches_hypothesis": fits, "mismatches": ~fits},
     )
 
 
-def discount_item_level(staging: DataFrame) -> DataFrame:
+def discount_item_level(order_amounts: DataFrame) -> DataFrame:
     fits = _explained_by("summed_discount")
-    return count_rows(discount_candidates(staging), fits, "matches_summed_hypothesis")
+    return count_rows(discount_candidates(order_amounts), fits, "matches_summed_hypothesis")
 
 
-def discount_residual(staging: DataFrame, limit: int | None = None) -> DataFrame:
+def discount_residual(order_amounts: DataFrame, limit: int | None = None) -> DataFrame:
     """Candidate orders that neither formula explains; ``limit`` gives a sample."""
     amounts = ["sum_gross", "shared_discount", "summed_discount", "order_grand_total"]
     rows = (
-        discount_candidates(staging)
+        discount_candidates(order_amounts)
         .where(~_explained_by("shared_discount") & ~_explained_by("summed_discount"))
         .select("increment_id", *amounts)
     )
@@ -577,11 +585,11 @@ def discount_residual(staging: DataFrame, limit: int | None = None) -> DataFrame
     return _as_double(rows, *amounts)
 
 
-def discount_hypotheses(staging: DataFrame) -> DataFrame:
+def discount_hypotheses(order_amounts: DataFrame) -> DataFrame:
     """Both formulas and the residual from one grouping of the orders."""
     shared, summed = _explained_by("shared_discount"), _explained_by("summed_discount")
     return count_each(
-        discount_candidates(staging),
+        discount_candidates(order_amounts),
         {
             "total_candidates": F.lit(True),
             "order_level": shared,

@@ -35,14 +35,11 @@ def lookup_table(
 ) -> Clustered:
     """One access path of the model, written the first time it is asked for."""
     source, order = LAYOUTS[name]
-    if source == "orders":
-        df, rows = orders, orders.count()
-    else:
-        df, rows = order_items, order_items.count()
+    df = orders if source == "orders" else order_items
     if source == "owned_items":
         df = df.join(orders.select("increment_id", "customer_id", "order_date"), "increment_id")
     bloom = "sku" if name == "items_by_order" else None
-    return clustered(df, workspace, name, order, rows, bloom_filter=bloom)
+    return clustered(df, workspace, name, order, bloom_filter=bloom)
 
 
 def layout_counts(tables: dict[str, Clustered]) -> DataFrame:

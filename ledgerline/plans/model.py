@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.functions.money import MONEY, gross_value, money, whole_number
+from ledgerline.functions.money import MONEY, gross_value, loses_digits, money, whole_number
 from ledgerline.functions.text import (
     BLANK,
     ORDER_DATE_FORMAT,
@@ -122,14 +122,12 @@ def customer_key() -> Column:
     return null_tokens("customer_id").try_cast("bigint")
 
 
-def _without_split(rows: DataFrame, split_orders: DataFrame | None) -> DataFrame:
-    if split_orders is None:
-        return rows
+def _without_split(rows: DataFrame, split_orders: DataFrame) -> DataFrame:
     return rows.join(split_orders, ["increment_id", "customer_id"], "left_anti")
 
 
 def build_customers(
-    order_flags: DataFrame, excluded_orders: DataFrame, split_orders: DataFrame | None = None
+    order_flags: DataFrame, excluded_orders: DataFrame, split_orders: DataFrame
 ) -> DataFrame:
     known = order_flags.where(null_tokens("customer_id").isNotNull())
     return (
@@ -149,7 +147,7 @@ def build_products(staging: DataFrame) -> DataFrame:
 
 
 def build_orders(
-    staging: DataFrame, excluded_orders: DataFrame, split_orders: DataFrame | None = None
+    staging: DataFrame, excluded_orders: DataFrame, split_orders: DataFrame
 ) -> DataFrame:
     """One row per accepted order; rows are reduced to orders before they are joined."""
     rows = valid_rows(staging).where(
@@ -221,20 +219,27 @@ def row_counts(tables: dict[str, DataFrame]) -> DataFrame:
 
 
 def unparsed_values(staging: DataFrame) -> DataFrame:
-    """(target, unparsed_rows): text that is no missing-value token but does not parse."""
+    """(target, unparsed_rows): text that is no missing-value token but does not parse whole.
+
+    Amounts count if they do not parse, or have more decimals than the model keeps.
+    """
 
     def lost(text: Column, parsed: Column) -> Column:
         return F.count_if(text.isNotNull() & parsed.isNull())
 
+    def lost_money(name: str) -> Column:
+        unread = F.col(name).isNotNull() & money(name).isNull()
+        return F.count_if(unread | loses_digits(name))
+
     since, order_date = null_tokens("customer_since"), null_tokens("created_at")
     counted = valid_rows(staging).agg(
         lost(null_tokens("customer_id"), customer_key()).alias("customer_id"),
         lost(since, parse_date(since, SINCE_FORMAT)).alias("customer_since"),
         lost(order_date, parse_date(order_date, ORDER_DATE_FORMAT)).alias("order_date"),
-        lost(F.col("grand_total"), money("grand_total")).alias("grand_total"),
+        lost_money("grand_total").alias("grand_total"),
         lost(F.col("item_id"), F.col("item_id").try_cast("bigint")).alias("item_id"),
-        lost(F.col("price"), money("price")).alias("price"),
+        lost_money("price").alias("price"),
         lost(F.col("qty_ordered"), whole_number("qty_ordered")).alias("qty_ordered"),
-        lost(F.col("discount_amount"), money("discount_amount")).alias("discount_amount"),
+        lost_money("discount_amount").alias("discount_amount"),
     )
     return as_long(counted, "target", "unparsed_rows")

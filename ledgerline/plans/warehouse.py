@@ -9,10 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ledgerline.operators import constraints
 from ledgerline.operators.layout import Clustered
-from ledgerline.plans import analytics, lookup, model, star
-from ledgerline.sources.export import read_csv, write_csv
-from ledgerline.sources.retail import staging_from_retail
-from ledgerline.sources.workspace import Workspace
+from ledgerline.plans import analytics, audit, lookup, model, star
+from ledgerline.sources.export import read_csv, require_well_formed, write_csv
+from ledgerline.sources.retail import RETAIL_TABLES, staging_from_retail
+from ledgerline.sources.workspace import Workspace, fingerprint
 
 # The three zones, from raw text to analysis.
 ZONES = ("staging", "oltp", "olap")
@@ -30,14 +30,21 @@ class Warehouse:
         self.spark = spark
         self.workspace = Workspace(spark, label)
         self._land = land
-        self._has_split: bool | None = None
         self._lookup: dict[str, Clustered] = {}
         self._lookup_lock = threading.Lock()
 
     @classmethod
-    def from_csv(cls, spark: SparkSession, path: str) -> Warehouse:
-        """A warehouse over the raw CSV export."""
-        return cls(spark, lambda _: read_csv(spark, path), "csv")
+    def from_csv(
+        cls, spark: SparkSession, path: str, multi_line: bool = False, allow_malformed: bool = False
+    ) -> Warehouse:
+        """A warehouse over the raw CSV export; damaged rows stop the landing unless allowed."""
+
+        def land(_: Workspace) -> DataFrame:
+            if not allow_malformed:
+                require_well_formed(spark, path, multi_line)
+            return read_csv(spark, path, multi_line)
+
+        return cls(spark, land, "csv")
 
     @classmethod
     def from_staging(cls, spark: SparkSession, staging: DataFrame) -> Warehouse:
@@ -72,13 +79,18 @@ class Warehouse:
             lambda: model.build_excluded_orders(self.order_flags(), self.service_accounts()),
         )
 
-    def split_orders(self) -> DataFrame | None:
-        """None in the usual case that no service account shares an order."""
-        if self._has_split is None:
-            self._has_split = not self._split_table().isEmpty()
-        return self._split_table() if self._has_split else None
+    def order_amounts(self) -> DataFrame:
+        return self.workspace.table(
+            "order_amounts", lambda: audit.build_order_amounts(self.staging())
+        )
 
-    def _split_table(self) -> DataFrame:
+    def zero_total_customers(self) -> DataFrame:
+        return self.workspace.table(
+            "zero_total_customers", lambda: audit.build_zero_total_customers(self.staging())
+        )
+
+    def split_orders(self) -> DataFrame:
+        """Usually empty; written, so that Spark knows and broadcasts next to nothing."""
         return self.workspace.table(
             "split_orders",
             lambda: model.build_split_orders(
@@ -137,7 +149,17 @@ class Warehouse:
             return self._lookup[name]
 
     def rfm_segments(self) -> DataFrame:
-        return analytics.rfm_segments(self.orders(), self.workspace)
+        return self.workspace.table(
+            "rfm_segments", lambda: analytics.rfm_segments(self.orders(), self.workspace)
+        )
+
+    def views(self) -> dict[str, DataFrame]:
+        """What business users read first."""
+        return {
+            "v_monthly_kpi": analytics.monthly_kpi(self.orders()),
+            "v_rfm_segments": self.rfm_segments(),
+            "v_cohort_retention": analytics.cohort_retention(self.orders()),
+        }
 
     def star(self) -> dict[str, DataFrame]:
         return {
@@ -149,10 +171,25 @@ class Warehouse:
 
     def zones(self) -> dict[str, dict[str, DataFrame]]:
         staging = {"export": self.staging()}
-        return dict(zip(ZONES, (staging, self.model(), self.star()), strict=True))
+        return dict(zip(ZONES, (staging, self.model(), self.star() | self.views()), strict=True))
+
+    def close(self) -> None:
+        """Deletes all tables that were written for this warehouse."""
+        self.workspace.close()
+        self._lookup.clear()
+
+    def __enter__(self) -> Warehouse:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self.close()
 
     def publish(self, root: str) -> None:
-        """Saves all zones as tables of three databases below ``root``."""
+        """Saves all zones as tables of three databases below ``root``.
+
+        Nothing is saved if a key constraint of the model is violated.
+        """
+        self.load_model()
         for zone, tables in self.zones().items():
             location = f"{root.rstrip('/')}/{zone}"
             self.spark.sql(f"CREATE DATABASE IF NOT EXISTS {zone} LOCATION '{location}'")
@@ -160,17 +197,21 @@ class Warehouse:
                 table.write.mode("overwrite").saveAsTable(f"{zone}.{name}")
 
 
-_open: dict[tuple[str, str], Warehouse] = {}
+_open: dict[tuple[str, str], tuple[tuple, Warehouse]] = {}
 _open_lock = threading.Lock()
 
 
 def open_retail(spark: SparkSession, folder: str) -> Warehouse:
-    """The warehouse of a folder, the same one for every query of an application."""
+    """The warehouse of a folder, the same one for every query of an application.
+
+    It is built anew if the files of the folder have changed.
+    """
     key = (spark.sparkContext.applicationId, folder)
+    state = tuple(fingerprint(spark, f"{folder}/{name}.parquet") for name in RETAIL_TABLES)
     with _open_lock:
-        if key not in _open:
-            _open[key] = Warehouse.from_retail(spark, folder)
-        return _open[key]
+        if key not in _open or _open[key][0] != state:
+            _open[key] = (state, Warehouse.from_retail(spark, folder))
+        return _open[key][1]
 
 
 def forget_retail(spark: SparkSession, folder: str) -> None:

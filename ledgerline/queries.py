@@ -12,7 +12,7 @@ from ledgerline.operators import constraints
 from ledgerline.operators.checks import length_violations
 from ledgerline.plans import analytics, audit, lookup, model, reconcile, star
 from ledgerline.plans.warehouse import Warehouse, open_retail
-from ledgerline.sources.export import RAW_COLUMNS, read_csv
+from ledgerline.sources.export import RAW_COLUMNS, malformed_rows, read_csv
 
 # The customer of the lookup queries.
 LOOKUP_CUSTOMER = 74
@@ -69,6 +69,7 @@ LANDING: dict[str, Query] = {
     "staging_schema": staging_schema,
     "csv_ingest_server": csv_ingest_server,
     "csv_ingest_client": csv_ingest_client,
+    "csv_malformed_rows": lambda w: malformed_rows(w.spark, w.exported_csv()),
 }
 
 # --- audit -----------------------------------------------------------------
@@ -78,6 +79,10 @@ def _on_staging(question: Callable[..., DataFrame], *args) -> Query:
     return lambda w: question(w.staging(), *args)
 
 
+def _on_amounts(question: Callable[..., DataFrame]) -> Query:
+    return lambda w: question(w.order_amounts())
+
+
 _per_order = audit.order_attribute_consistency
 _per_any_order = audit.order_attribute_consistency_any_row
 
@@ -104,10 +109,12 @@ AUDIT: dict[str, Query] = {
     "dq_order_consistency_with_null_summary": _on_staging(audit.order_consistency_with_null_summary),
     "dq_item_vs_grand_total": _on_staging(audit.item_vs_grand_total),
     "dq_grand_total_drilldown": _on_staging(audit.grand_total_drilldown),
-    "dq_grand_total_per_order": _on_staging(audit.grand_total_per_order),
-    "dq_grand_total_violations": _on_staging(audit.grand_total_violations),
-    "dq_grand_total_violations_summary": _on_staging(audit.grand_total_violations_summary),
-    "dq_zero_total_drilldown": _on_staging(audit.zero_total_drilldown),
+    "dq_grand_total_per_order": _on_amounts(audit.grand_total_per_order),
+    "dq_grand_total_violations": _on_amounts(audit.grand_total_violations),
+    "dq_grand_total_violations_summary": _on_amounts(audit.grand_total_violations_summary),
+    "dq_zero_total_drilldown": lambda w: audit.zero_total_drilldown(
+        w.staging(), w.zero_total_customers()
+    ),
     "payment_method_share": _on_staging(audit.payment_method_share),
     "dq_internal_payment_rows": _on_staging(audit.internal_payment_rows),
     "dq_internal_customer_profile": _on_staging(audit.internal_customer_profile),
@@ -126,7 +133,7 @@ AUDIT: dict[str, Query] = {
     "dq_non_numeric_increment_ids": _on_staging(audit.non_numeric_increment_ids),
     "dq_non_numeric_increment_ids_summary": _on_staging(audit.non_numeric_increment_ids_summary),
     "dq_customer_consistency": _on_staging(_per_order, "customer_id", "customer_variants"),
-    "dq_customer_since_values": _on_staging(audit.customer_since_values),
+    "dq_customer_since_values": _on_staging(audit.customer_since_values, 20),
     "dq_customer_since_non_date": _on_staging(audit.customer_since_non_date),
     "dq_na_token_rows": _on_staging(audit.na_token_rows),
     "dq_na_token_scan": _on_staging(audit.na_token_scan),
@@ -135,10 +142,10 @@ AUDIT: dict[str, Query] = {
     "dq_missing_token_profile": _on_staging(audit.missing_token_profile),
     "dq_mv_raw_cast": _on_staging(audit.mv_raw_cast),
     "dq_mv_non_numeric_values": _on_staging(audit.mv_non_numeric_values),
-    "dq_mv_dash_sample": _on_staging(audit.mv_dash_sample),
+    "dq_mv_dash_sample": _on_staging(audit.mv_dash_sample, 12),
     "dq_mv_dash_count": _on_staging(audit.mv_dash_count),
     "dq_mv_vs_gross": _on_staging(audit.mv_vs_gross),
-    "dq_mv_mismatch_sample": _on_staging(audit.mv_mismatch_sample),
+    "dq_mv_mismatch_sample": _on_staging(audit.mv_mismatch_sample, 20),
     "dq_mv_vs_rounded_gross": _on_staging(audit.mv_vs_rounded_gross),
     "dq_backslash_n_scan": _on_staging(audit.backslash_n_scan),
     "dq_status_backslash_n_rows": _on_staging(audit.status_backslash_n_rows),
@@ -149,10 +156,10 @@ AUDIT: dict[str, Query] = {
     "dq_negative_money": _on_staging(audit.negative_money),
     "dq_negative_discount_rows": _on_staging(audit.negative_discount_rows),
     "dq_discount_exceeds_gross": _on_staging(audit.discount_exceeds_gross),
-    "dq_discount_order_level": _on_staging(audit.discount_order_level),
-    "dq_discount_item_level": _on_staging(audit.discount_item_level),
-    "dq_discount_residual": _on_staging(audit.discount_residual),
-    "dq_discount_hypotheses": _on_staging(audit.discount_hypotheses),
+    "dq_discount_order_level": _on_amounts(audit.discount_order_level),
+    "dq_discount_item_level": _on_amounts(audit.discount_item_level),
+    "dq_discount_residual": _on_amounts(audit.discount_residual),
+    "dq_discount_hypotheses": _on_amounts(audit.discount_hypotheses),
     "dq_order_text_max_length": _on_staging(audit.order_text_max_length),
     "dq_row_findings": _on_staging(audit.row_findings),
 }
@@ -252,8 +259,8 @@ LOOKUP: dict[str, Query] = {
 
 ANALYSIS: dict[str, Query] = {
     "v_monthly_kpi": lambda w: analytics.monthly_kpi(w.orders()),
-    "v_rfm_segments": lambda w: w.rfm_segments(),
-    "rfm_summary": lambda w: analytics.rfm_summary(w.rfm_segments()),
+    "v_rfm_segments": lambda w: _doubles(w.rfm_segments()),
+    "rfm_summary": lambda w: _doubles(analytics.rfm_summary(w.rfm_segments())),
     "v_cohort_retention": lambda w: analytics.cohort_retention(w.orders()),
     "category_revenue": lambda w: analytics.category_revenue(
         w.order_items(), w.orders(), w.products()

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # Header of the export and the name each column gets here.
@@ -37,24 +38,69 @@ RAW_SCHEMA = T.StructType([T.StructField(name, T.StringType()) for name in RAW_C
 STAGING_SCHEMA = T.StructType([T.StructField(name, T.StringType()) for name in STAGING_COLUMNS])
 
 
-def read_csv(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
-    """Staging rows from CSV with a header; columns are taken by position.
+_DAMAGE = "damaged_row"
 
-    Blanks, which the reader returns as NULL, become empty text again, because
-    the audit tells a blank from other missing-value tokens. ``multi_line``
-    allows line breaks inside quoted fields but keeps each file in one task.
-    """
-    rows = (
-        spark.read.schema(RAW_SCHEMA)
+
+def _read(spark: SparkSession, path: str, multi_line: bool) -> DataFrame:
+    """Rows by position, with the text of rows of another number of fields in ``damaged_row``."""
+    schema = T.StructType(list(RAW_SCHEMA.fields)).add(_DAMAGE, T.StringType())
+    return (
+        spark.read.schema(schema)
         .option("header", True)
         .option("enforceSchema", True)
+        .option("mode", "PERMISSIVE")
+        .option("columnNameOfCorruptRecord", _DAMAGE)
         .option("escape", '"')
+        # Fields are counted only if all of them are parsed.
+        .option("columnPruning", False)
         .option("multiLine", multi_line)
         .option("ignoreLeadingWhiteSpace", False)
         .option("ignoreTrailingWhiteSpace", False)
         .csv(path)
     )
-    return rows.toDF(*STAGING_COLUMNS).na.fill("")
+
+
+def read_csv(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    """Staging rows from CSV with a header; columns are taken by position.
+
+    Blanks, which the reader returns as NULL, become empty text again, because
+    the audit tells a blank from other missing-value tokens. Rows with too few or
+    too many fields are filled up or cut; ``malformed_rows`` finds them. ``multi_line``
+    allows line breaks inside quoted fields but keeps each file in one task.
+    """
+    return _read(spark, path, multi_line).drop(_DAMAGE).toDF(*STAGING_COLUMNS).na.fill("")
+
+
+def malformed_rows(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    """One row: all rows, rows of another number of fields, lines with an open quote.
+
+    A quoted field that goes on in the next line leaves a quote open in both lines, unless
+    ``multi_line`` reads them as one.
+    """
+    # Spark reads the text of damaged rows beside another column only.
+    beside = F.concat(F.col(_DAMAGE), F.coalesce(F.col(RAW_SCHEMA.names[0]), F.lit("")))
+    fields = _read(spark, path, multi_line).agg(
+        F.count("*").alias("total_rows"),
+        F.count_if(F.length(beside) >= 0).alias("wrong_field_count"),
+    )
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    is_open = quotes % 2 == 1 if not multi_line else F.lit(False)
+    lines = spark.read.text(path).agg(F.count_if(is_open).alias("open_quotes"))
+    # Two tables of one row each, side by side.
+    return fields.select(
+        "total_rows", "wrong_field_count", lines.scalar().alias("open_quotes")
+    )
+
+
+class MalformedExportError(ValueError):
+    """An export has rows that do not fit its header."""
+
+
+def require_well_formed(spark: SparkSession, path: str, multi_line: bool = False) -> None:
+    """Raises if rows of the export are damaged."""
+    found = malformed_rows(spark, path, multi_line).first()
+    if found.wrong_field_count or found.open_quotes:
+        raise MalformedExportError(f"{path}: {found.asDict()}")
 
 
 def write_csv(staging: DataFrame, path: str) -> None:

@@ -11,50 +11,39 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerline.functions.text import BACKSLASH_N, GENUINE_TEST_SKUS, SPREADSHEET_NA
+from ledgerline.operators.constraints import fk_violations, require_no_violations
 from ledgerline.operators.numbering import in_ranges, row_number_in_ranges
 from ledgerline.sources.export import STAGING_COLUMNS
 from ledgerline.sources.workspace import Workspace
 
+RETAIL_TABLES = ("orders", "lineitem", "part")
+
 # Lines are numbered in this order within their order.
 LINE_ORDER = (
     "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity",
     "l_shipdate", "l_discount", "l_tax", "l_returnflag", "l_linestatus",
 )
 
-# An order with more lines than this is numbered across several tasks.
-LARGE_ORDER_LINES = 100_000
+# Item ids leave room for so many lines of an order.
+LINES_PER_ORDER = 1_000_000_000
 
 AMOUNT = "decimal(18,2)"
 
 
-def staging_from_retail(
-    spark: SparkSession,
-    folder: str,
-    workspace: Workspace,
-    large_order_lines: int = LARGE_ORDER_LINES,
-) -> DataFrame:
+def staging_from_retail(spark: SparkSession, folder: str, workspace: Workspace) -> DataFrame:
+    """The staging rows; stops if a line has no order or no part."""
     orders = spark.read.parquet(f"{folder}/orders.parquet")
     part = spark.read.parquet(f"{folder}/part.parquet")
     lineitem = spark.read.parquet(f"{folder}/lineitem.parquet")
-
-    large = workspace.table("large_orders", lambda: _large_orders(lineitem, large_order_lines))
-    if large.isEmpty():
-        totalled = _totalled_in_window(_lines(lineitem, part, orders))
-    else:
-        is_large = F.col("l_orderkey") == F.col("large_order")
-        usual = lineitem.join(large, is_large, "left_anti")
-        # Equal lines differ in "copy", so that even copies of one line can be split. The
-        # number is given at the scan, where a task that runs again gives it alike.
-        copies = lineitem.withColumn("copy", F.monotonically_increasing_id())
-        outsized = copies.join(large, is_large, "left_semi")
-        is_header = F.col("o_orderkey") == F.col("large_order")
-        headers = workspace.table(
-            "large_order_headers", lambda: orders.join(large, is_header, "left_semi")
-        )
-        totalled = _totalled_in_window(_lines(usual, part, orders)).unionByName(
-            _totalled_in_ranges(_lines(outsized, part, headers, "copy"), workspace)
-        )
-
+    links = (("l_orderkey", orders, "orders", "o_orderkey"), ("l_partkey", part, "part", "p_partkey"))
+    for key, parent, name, parent_key in links:
+        report = fk_violations(lineitem, "lineitem", key, parent, name, parent_key)
+        require_no_violations(report, "orphan_keys", "null_rows")
+
+    # Equal lines differ in "copy", so that even copies of one line can be split. The
+    # number is given at the scan, where a task that runs again gives it alike.
+    copies = lineitem.withColumn("copy", F.monotonically_increasing_id())
+    totalled = _totalled(_lines(copies, part, orders, "copy"), workspace)
     padding = orders.where(F.col("o_orderkey") % 3 == 0).select(
         *[F.lit("").alias(name) for name in STAGING_COLUMNS]
     )
@@ -101,22 +90,21 @@ def _payment_method() -> Column:
     )
 
 
-def _large_orders(lineitem: DataFrame, more_than: int) -> DataFrame:
-    counted = lineitem.groupBy(F.col("l_orderkey").alias("large_order")).count()
-    return counted.where(F.col("count") > more_than).select("large_order")
-
-
 def _with_amounts(numbered: DataFrame) -> DataFrame:
-    """Adds item id, gross and discount of a line to lines numbered by ``line_no``."""
+    """Adds item id, gross and discount of a line to lines numbered by ``line_no``.
+
+    ``mark`` picks the lines that carry an artifact; it is no key.
+    """
     ok = F.col("ok")
     gross = F.col("unit_price") * F.col("qty")
     return (
-        numbered.withColumn("iid", ok * 100 + F.col("line_no"))
+        numbered.withColumn("iid", ok * LINES_PER_ORDER + F.col("line_no"))
+        .withColumn("mark", ok * 100 + F.col("line_no"))
         .withColumn("gross", gross.cast(AMOUNT))
         .withColumn(
             "discount",
             F.when((ok % 20).isin(1, 2, 3), (10 + ok % 50).cast(AMOUNT))
-            .when(F.col("iid") % 499 == 0, F.lit(-25).cast(AMOUNT))
+            .when(F.col("mark") % 499 == 0, F.lit(-25).cast(AMOUNT))
             .otherwise(F.round(gross * F.col("rate"), 2).cast(AMOUNT)),
         )
     )
@@ -130,23 +118,15 @@ def _order_sums() -> dict[str, Column]:
     }
 
 
-def _totalled_in_window(lines: DataFrame) -> DataFrame:
-    """Numbers and totals orders of usual size; one shuffle and one sort for both."""
-    per_order = Window.partitionBy("ok")
-    numbered = lines.withColumn("line_no", F.row_number().over(per_order.orderBy(*LINE_ORDER)))
-    return _with_amounts(numbered).withColumns(
-        {name: total.over(per_order) for name, total in _order_sums().items()}
-    )
-
-
-def _totalled_in_ranges(lines: DataFrame, workspace: Workspace) -> DataFrame:
-    """The same for outsized orders, whose lines are spread over range partitions.
+def _totalled(lines: DataFrame, workspace: Workspace) -> DataFrame:
+    """Numbers and totals the lines of each order, which may be any number.
 
-    Every step works on the piece of an order that lies in one range; pieces are
-    few, so numbers and sums of whole orders come from a table of pieces.
+    Lines are spread over range partitions. Every step works on the piece of an order
+    that lies in one range; pieces are few, so numbers and sums of whole orders come
+    from a table of pieces.
     """
     order, piece = [*LINE_ORDER, "copy"], ["range_no", "ok"]
-    ranged = in_ranges(lines, ["ok", *order], workspace, "outsized_lines")
+    ranged = in_ranges(lines, ["ok", *order], workspace, "lines_in_ranges")
     numbered = row_number_in_ranges(ranged, order, ("ok",))
     priced = _with_amounts(numbered.withColumnRenamed("row_number", "line_no").drop("copy"))
     sums = _order_sums()
@@ -162,7 +142,7 @@ def _totalled_in_ranges(lines: DataFrame, workspace: Workspace) -> DataFrame:
 
 
 def _as_export(totalled: DataFrame) -> DataFrame:
-    ok, ck, pk, iid = (F.col(name) for name in ("ok", "ck", "pk", "iid"))
+    ok, ck, pk, iid, mark = (F.col(name) for name in ("ok", "ck", "pk", "iid", "mark"))
     day = F.col("ordered_on")
     year, month = F.year(day).cast("string"), F.month(day).cast("string")
     created_at = F.concat_ws("/", month, F.dayofmonth(day).cast("string"), year)
@@ -178,7 +158,7 @@ def _as_export(totalled: DataFrame) -> DataFrame:
     )
     sku = (
         F.when((ck % 400 == 17) | (ok % 250 == 3), "test-product")
-        .when(iid % 3001 == 0, "")
+        .when(mark % 3001 == 0, "")
         .when(pk == 40, GENUINE_TEST_SKUS[0])
         .when(pk == 41, GENUINE_TEST_SKUS[1])
         .when(pk == 42, GENUINE_TEST_SKUS[2])
@@ -186,7 +166,7 @@ def _as_export(totalled: DataFrame) -> DataFrame:
         .otherwise(F.concat(F.replace("p_name", F.lit(" "), F.lit("_")), F.lit("-"), pk_text))
     )
     category = (
-        F.when((pk % 300 == 13) | (iid % 77 == 0), BACKSLASH_N)
+        F.when((pk % 300 == 13) | (mark % 77 == 0), BACKSLASH_N)
         .when((pk % 200 == 11) & (ok % 3 == 0), "UNISEX")
         .otherwise(F.col("p_type"))
     )

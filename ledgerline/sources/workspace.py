@@ -6,24 +6,54 @@ import tempfile
 import threading
 import uuid
 from collections.abc import Callable
+from urllib.parse import urlsplit
 
 from pyspark.sql import DataFrame, SparkSession
 
 SHARED_FOLDER_SETTING = "spark.checkpoint.dir"
+# Says that a file: folder is a mount that all machines share.
+SHARED_MOUNT_SETTING = "spark.ledgerline.sharedMount"
 
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that every executor can read, as the session names it.
 
-    Only a local master, where driver and executors share one disk, may fall
-    back to a temporary folder.
+    Only a local master, where driver and executors share one disk, may leave it out
+    (a temporary folder is taken then) or name a folder of its own disk.
     """
     folder = spark.conf.get(SHARED_FOLDER_SETTING, None)
-    if folder:
-        return folder.rstrip("/")
-    if spark.conf.get("spark.master", "").startswith("local"):
-        return tempfile.mkdtemp(prefix="ledgerline-")
-    raise RuntimeError(f"set {SHARED_FOLDER_SETTING} to a folder that all executors share")
+    local = spark.conf.get("spark.master", "").startswith("local")
+    if not folder:
+        if local:
+            return tempfile.mkdtemp(prefix="ledgerline-")
+        raise RuntimeError(f"set {SHARED_FOLDER_SETTING} to a folder that all executors share")
+    mounted = spark.conf.get(SHARED_MOUNT_SETTING, "false") == "true"
+    if not local and not mounted and _scheme(spark, folder) == "file":
+        raise RuntimeError(
+            f"{SHARED_FOLDER_SETTING} is {folder}, a folder of one machine; name a shared one, "
+            f"or set {SHARED_MOUNT_SETTING} to true if all machines mount it"
+        )
+    return folder.rstrip("/")
+
+
+def _scheme(spark: SparkSession, folder: str) -> str:
+    return urlsplit(folder).scheme or _file_system(spark, folder).getScheme()
+
+
+def _file_system(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    found = jvm.org.apache.hadoop.fs.Path(path)
+    return found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def fingerprint(spark: SparkSession, path: str) -> tuple[int, int, int]:
+    """(bytes, files, time of the last change) of a file or folder."""
+    files = _file_system(spark, path)
+    found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    summary = files.getContentSummary(found)
+    return (
+        summary.getLength(), summary.getFileCount(), files.getFileStatus(found).getModificationTime()
+    )
 
 
 class Workspace:
@@ -43,6 +73,28 @@ class Workspace:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
+    def scope(self, label: str) -> Workspace:
+        """A fresh workspace inside this one: its names are those of one call only."""
+        inner = object.__new__(Workspace)
+        inner.spark = self.spark
+        inner.root = f"{self.root}/{label}-{uuid.uuid4().hex}"
+        inner._tables, inner._folders, inner._lock = {}, set(), threading.RLock()
+        return inner
+
+    def close(self) -> None:
+        """Deletes all that was written here, scopes included."""
+        with self._lock:
+            self._tables.clear()
+            self._folders.clear()
+            target = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.root)
+            _file_system(self.spark, self.root).delete(target, True)
+
+    def __enter__(self) -> Workspace:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self.close()
+
     def table(
         self,
         name: str,

@@ -28,10 +28,11 @@ SELECT l_orderkey AS ok, o_custkey AS ck, l_partkey AS pk,
             ELSE CAST(p_retailprice AS DECIMAL(12,2)) END AS unit_price,
        CAST(l_quantity AS INTEGER) AS qty,
        CAST(l_discount AS DECIMAL(4,2)) AS rate,
-       l_orderkey * 100 + row_number() OVER (
+       row_number() OVER (
            PARTITION BY l_orderkey
            ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity,
-                    l_shipdate, l_discount, l_tax, l_returnflag, l_linestatus) AS iid
+                    l_shipdate, l_discount, l_tax, l_returnflag, l_linestatus) AS line_no,
+       l_orderkey * 1000000000 + line_no AS iid, l_orderkey * 100 + line_no AS mark
 FROM lineitem
 JOIN orders ON o_orderkey = l_orderkey
 JOIN part ON p_partkey = l_partkey""",
@@ -43,7 +44,7 @@ _TABLES["priced"] = (
 SELECT *,
        CAST(unit_price * qty AS DECIMAL(18,2)) AS line_gross,
        CASE WHEN ok % 20 IN (1, 2, 3) THEN CAST(10 + ok % 50 AS DECIMAL(18,2))
-            WHEN iid % 499 = 0 THEN CAST(-25 AS DECIMAL(18,2))
+            WHEN mark % 499 = 0 THEN CAST(-25 AS DECIMAL(18,2))
             ELSE CAST(round(unit_price * qty * rate, 2) AS DECIMAL(18,2)) END AS line_discount,
        CASE WHEN ck % 500 = 116 THEN 'marketingexpense'
             WHEN ck % 500 = 36 AND ok % 2 = 0 THEN 'financesettlement'
@@ -80,7 +81,7 @@ SELECT CAST(iid AS VARCHAR) AS item_id,
             ELSE 'order_refunded' END AS status,
        concat_ws('/', month(ordered_on), day(ordered_on), year(ordered_on)) AS created_at,
        CASE WHEN ck % 400 = 17 OR ok % 250 = 3 THEN 'test-product'
-            WHEN iid % 3001 = 0 THEN ''
+            WHEN mark % 3001 = 0 THEN ''
             WHEN pk = 40 THEN '{GENUINE_SKUS[0]}'
             WHEN pk = 41 THEN '{GENUINE_SKUS[1]}'
             WHEN pk = 42 THEN '{GENUINE_SKUS[2]}'
@@ -90,7 +91,7 @@ SELECT CAST(iid AS VARCHAR) AS item_id,
        CAST(qty AS VARCHAR) AS qty_ordered,
        CAST(CAST(order_total AS DECIMAL(18,2)) AS VARCHAR) AS grand_total,
        CAST(100000000 + ok AS VARCHAR) || CASE WHEN ok % 1500 = 9 THEN '-1' ELSE '' END AS increment_id,
-       CASE WHEN pk % 300 = 13 OR iid % 77 = 0 THEN '\N'
+       CASE WHEN pk % 300 = 13 OR mark % 77 = 0 THEN '\N'
             WHEN pk % 200 = 11 AND ok % 3 = 0 THEN 'UNISEX'
             ELSE p_type END AS category_name_1,
        '\N' AS sales_commission_code,
@@ -122,7 +123,7 @@ SELECT *,
        TRY_CAST(qty_ordered AS INTEGER) AS qty_n,
        TRY_CAST(discount_amount AS DECIMAL(18,4)) AS discount_n,
        TRY_CAST(grand_total AS DECIMAL(18,4)) AS total_n,
-       CAST(TRY_CAST(price AS DECIMAL(18,4)) * TRY_CAST(qty_ordered AS INTEGER) AS DECIMAL(18,4)) AS gross_n,
+       TRY_CAST(price AS DECIMAL(18,4))::DECIMAL(28,4) * TRY_CAST(qty_ordered AS INTEGER) AS gross_n,
        sku ILIKE '%test%' AND sku NOT IN ({_GENUINE_LIST}) AS is_test,
        payment_method IN ('marketingexpense', 'financesettlement') AS is_internal,
        CASE WHEN customer_id NOT IN ('\N', '', '#N/A') THEN CAST(customer_id AS BIGINT) END AS customer_key,
@@ -194,8 +195,8 @@ WHERE NOT f.is_test AND f.increment_id IN (SELECT increment_id FROM orders_t)"""
 _TABLES["money_orders"] = (
     ("orders_t",),
     """
-SELECT *, payment_method NOT IN
-       ('customercredit', 'productcredit', 'marketingexpense', 'financesettlement') AS is_money
+SELECT *, coalesce(payment_method NOT IN
+       ('customercredit', 'productcredit', 'marketingexpense', 'financesettlement'), false) AS is_money
 FROM orders_t""",
 )
 

@@ -5,15 +5,18 @@ from __future__ import annotations
 import random
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from __spark_entry__ import queries
 from ledgerline.functions.text import is_regular_sku
 from ledgerline.operators import checks
+from ledgerline.operators.constraints import ConstraintError
 from ledgerline.operators.layout import bucket_of, clustered, save_bucketed
 from ledgerline.operators.numbering import add_ntiles, global_row_number
 from ledgerline.plans import analytics, audit, lookup, model
 from ledgerline.plans.warehouse import Warehouse
+from ledgerline.queries import QUERIES
 from ledgerline.sources.retail import staging_from_retail
 from ledgerline.sources.workspace import Workspace, shared_folder
 from tests.conftest import FOLDER
@@ -73,24 +76,54 @@ def test_global_row_number_is_the_sort_position(spark, workspace):
 
 
 @pytest.mark.parametrize("rows", [1, 3, 5, 23, 101])
-def test_ntiles_beyond_one_task_equal_the_window(spark, rows):
+def test_ntiles_equal_the_window(spark, rows):
     df = spark.range(rows).select("id", (F.col("id") * 7 % 11).alias("v"))
-    orders = {"t": ["v", "id"]}
-    plain = add_ntiles(df, orders, 5, Workspace(spark, "a"), rows)
-    spread = add_ntiles(df, orders, 5, Workspace(spark, "b"), rows, one_task_rows=0)
+    plain = df.withColumn("t", F.ntile(5).over(Window.orderBy("v", "id")))
+    spread = add_ntiles(df, {"t": ["v", "id"]}, 5, Workspace(spark, "b"))
     assert rows_of(plain.select("id", "t")) == rows_of(spread.select("id", "t"))
 
 
-def test_rfm_is_the_same_beyond_one_task(spark, warehouse):
-    plain = analytics.rfm_segments(warehouse.orders(), Workspace(spark, "a"))
-    spread = analytics.rfm_segments(warehouse.orders(), Workspace(spark, "b"), one_task_rows=10)
-    assert rows_of(plain) == rows_of(spread)
-
-
-def test_large_orders_are_numbered_and_totalled_alike(spark, warehouse, workspace):
-    """With a low bound nearly every order takes the way of the outsized ones."""
-    spread = staging_from_retail(spark, FOLDER, workspace, large_order_lines=3)
-    assert rows_of(spread) == rows_of(warehouse.staging())
+def test_rfm_of_part_of_the_orders_is_its_own(spark, warehouse):
+    """A second call in the same workspace does not return the first one's rows."""
+    space = Workspace(spark, "a")
+    everybody = analytics.rfm_segments(warehouse.orders(), space)
+    some = analytics.rfm_segments(warehouse.orders().where("customer_id < 100"), space)
+    few = warehouse.orders().where("customer_id < 100").select("customer_id").distinct().count()
+    assert some.count() == few < everybody.count()
+
+
+def test_orders_with_very_many_lines(spark, tmp_path):
+    """An order of 150 and one of 200,000 lines, many of them equal, next to usual ones."""
+    for name in ("orders", "part"):
+        spark.read.parquet(f"{FOLDER}/{name}.parquet").write.parquet(f"{tmp_path}/{name}.parquet")
+    lines = spark.read.parquet(f"{FOLDER}/lineitem.parquet")
+    some = [r.o_orderkey for r in spark.read.parquet(f"{FOLDER}/orders.parquet").limit(3).collect()]
+    template = lines.limit(1)
+    extra = [
+        template.crossJoin(spark.range(n).select((F.col("id") % 40).alias("variant")))
+        .withColumn("l_orderkey", F.lit(key))
+        .withColumn("l_quantity", (1 + F.col("variant")).cast(lines.schema["l_quantity"].dataType))
+        .drop("variant")
+        for key, n in zip(some, (150, 200_000, 3), strict=True)
+    ]
+    whole = lines.where(~F.col("l_orderkey").isin(some))
+    for more in extra:
+        whole = whole.unionByName(more)
+    whole.write.parquet(f"{tmp_path}/lineitem.parquet")
+    with Warehouse.from_retail(spark, str(tmp_path)) as large:
+        tables = large.load_model()
+        report = {r.constraint_name: r for r in model.primary_key_report(tables).collect()}
+        assert report["order_items.item_id"].checked_rows > 190_000
+        assert large.staging().where("item_id <> ''").count() == whole.count()
+
+
+def test_a_line_without_its_order_stops_the_landing(spark, tmp_path, workspace):
+    for name in ("orders", "part", "lineitem"):
+        rows = spark.read.parquet(f"{FOLDER}/{name}.parquet")
+        kept = rows.where("o_orderkey > 10") if name == "orders" else rows
+        kept.write.parquet(f"{tmp_path}/{name}.parquet")
+    with pytest.raises(ConstraintError, match="lineitem.l_orderkey"):
+        staging_from_retail(spark, str(tmp_path), workspace)
 
 
 # --- skew ------------------------------------------------------------------
@@ -193,8 +226,7 @@ def test_builds_do_not_depend_on_the_join_strategy(spark, skewed):
 def test_lookup_reads_one_bucket(spark, warehouse, workspace):
     orders = warehouse.orders()
     table = clustered(
-        orders, workspace, "by_customer", ["customer_id", "increment_id"], orders.count(),
-        rows_per_bucket=100,
+        orders, workspace, "by_customer", ["customer_id", "increment_id"], buckets=15
     )
     assert table.buckets == 15
     assert table.table.drop("bucket").count() == orders.count()
@@ -247,7 +279,7 @@ def plan_of(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_plan_has_no_slow_operator(spark, name):
     plan = plan_of(queries()[name](spark, FOLDER))
     for slow in ("CartesianProduct", "NestedLoopJoin", "Python", "MapInPandas", "Generate explode(collect"):
@@ -269,8 +301,36 @@ def test_order_items_need_no_shuffle_when_exclusions_are_small(warehouse):
     assert "hashpartitioning" not in plan_of(warehouse.build("order_items"))
 
 
+def test_order_questions_read_one_written_table(spark, warehouse):
+    """No question about order amounts groups staging rows again."""
+    for name in ("dq_grand_total_per_order", "dq_discount_order_level", "dq_discount_hypotheses", "dq_discount_residual"):
+        df = QUERIES[name](warehouse)
+        df.collect()
+        assert all("/order_amounts/" in path for path in df.inputFiles()), name
+        assert "hashpartitioning" not in plan_of(df), name
+
+
+def test_closing_leaves_nothing(spark, warehouse):
+    import os
+
+    with Warehouse.from_staging(spark, warehouse.staging()) as other:
+        other.load_model()
+        root = other.workspace.root
+        assert os.listdir(root.removeprefix("file:"))
+    assert not os.path.exists(root.removeprefix("file:"))
+
+
+def test_publish_stops_at_a_broken_key(spark, warehouse_of, tmp_path):
+    broken = warehouse_of({"item_id": "1"}, {"item_id": "1", "sku": "other"})
+    with pytest.raises(ConstraintError):
+        broken.publish(str(tmp_path))
+    assert not list(tmp_path.iterdir())
+
+
 def test_publish_saves_all_zones(spark, warehouse, tmp_path):
     warehouse.publish(str(tmp_path))
     assert spark.table("oltp.orders").count() == 1443
     assert spark.table("olap.fact_sales").count() == 5780
+    assert spark.table("olap.v_rfm_segments").count() == 148
+    assert spark.table("olap.v_monthly_kpi").count() == 80
     assert model.row_counts({"e": spark.table("staging.export")}).first().row_count == 6500

@@ -6,6 +6,7 @@ import datetime
 from decimal import Decimal
 
 import pytest
+from pyspark.sql import functions as F
 
 from ledgerline.functions import money as amounts
 from ledgerline.functions import text
@@ -19,7 +20,13 @@ from ledgerline.operators.constraints import (
 )
 from ledgerline.plans import analytics, audit, model, reconcile
 from ledgerline.plans.warehouse import Warehouse
-from ledgerline.sources.export import RAW_COLUMNS, read_csv, write_csv
+from ledgerline.sources.export import (
+    RAW_COLUMNS,
+    MalformedExportError,
+    malformed_rows,
+    read_csv,
+    write_csv,
+)
 from tests.conftest import BLANK_ROW, PLAIN_ROW
 
 
@@ -140,8 +147,8 @@ def test_order_total_belongs_to_the_order(staged):
     rows = staged(
         {"price": "420", "grand_total": "980"}, {"price": "560", "grand_total": "980"}
     )
-    assert value(audit.grand_total_per_order(rows)) == ("900", 2, 1)
-    assert audit.grand_total_violations(rows).count() == 0
+    assert value(audit.grand_total_per_order(audit.build_order_amounts(rows))) == ("900", 2, 1)
+    assert audit.grand_total_violations(audit.build_order_amounts(rows)).count() == 0
     assert audit.item_vs_grand_total(rows).count() == 2
     assert audit.item_vs_grand_total(rows, limit=1).collect()[0].item_id == "1"
     assert audit.grand_total_drilldown(rows, items=["2"]).count() == 1
@@ -195,9 +202,9 @@ def test_discount_hypotheses(staged):
         return [row, row]
 
     rows = staged(*order("1", "90"), *order("2", "80"), *order("3", "240"))
-    assert value(audit.discount_order_level(rows)) == (3, 1, 2)
-    assert value(audit.discount_item_level(rows)) == (1,)
-    assert [r.increment_id for r in audit.discount_residual(rows).collect()] == ["3"]
+    assert value(audit.discount_order_level(audit.build_order_amounts(rows))) == (3, 1, 2)
+    assert value(audit.discount_item_level(audit.build_order_amounts(rows))) == (1,)
+    assert [r.increment_id for r in audit.discount_residual(audit.build_order_amounts(rows)).collect()] == ["3"]
 
 
 def test_negative_discount_is_counted_and_turned(staged, warehouse_of):
@@ -309,7 +316,7 @@ def test_repeated_and_null_keys_are_found(spark):
 
 
 def test_model_types(warehouse):
-    assert dict(warehouse.order_items().dtypes)["gross_value"] == "decimal(18,4)"
+    assert dict(warehouse.order_items().dtypes)["gross_value"] == "decimal(29,4)"
     assert dict(warehouse.orders().dtypes)["order_date"] == "date"
     assert dict(warehouse.customers().dtypes) == {"customer_id": "bigint", "customer_since": "date"}
 
@@ -385,3 +392,54 @@ def test_csv_round_trip(spark, staged, tmp_path):
     write_csv(rows, str(tmp_path / "csv"))
     again = read_csv(spark, str(tmp_path / "csv"))
     assert sorted(map(tuple, again.collect())) == sorted(map(tuple, rows.collect()))
+
+
+# --- amounts, methods and files out of the usual ------------------------------
+
+
+def test_a_very_large_amount_ends_no_question(staged, warehouse_of):
+    row = {"price": "99999999999999", "qty_ordered": "1000", "discount_amount": "1"}
+    rows = staged(row)
+    for question in (
+        audit.discount_exceeds_gross, audit.item_vs_grand_total, audit.grand_total_drilldown, audit.mv_vs_gross,
+        audit.mv_vs_rounded_gross, audit.row_findings, audit.mv_mismatch_sample, audit.build_order_amounts,
+    ):
+        question(rows).collect()
+    (item,) = warehouse_of(row).order_items().collect()
+    assert item.gross_value == Decimal("99999999999999000")
+
+
+def test_lost_decimals_are_counted(staged):
+    rows = staged({"price": "1.23456", "qty_ordered": "1000"}, {"price": "1.23450"}, {"discount_amount": "0.00001"})
+    lost = {r.target: r.unparsed_rows for r in model.unparsed_values(rows).collect()}
+    assert lost["price"] == 1 and lost["discount_amount"] == 1 and lost["grand_total"] == 0
+
+
+def test_an_unknown_payment_method_is_no_money_anywhere(spark, warehouse_of):
+    w = warehouse_of({"grand_total": "10", "price": "10"})
+    orders = w.orders().withColumn("payment_method", F.lit(None).cast("string"))
+    assert [r.revenue for r in analytics.monthly_kpi(orders).collect()] == [0.0]
+    assert [r.revenue for r in analytics.payment_mix(orders).collect()] == [0.0]
+    assert analytics.category_revenue(w.order_items(), orders, w.products()).count() == 0
+
+
+def test_damaged_exports_stop_the_landing(spark, tmp_path):
+    header = ",".join(RAW_COLUMNS)
+    good = ",".join(["1"] * len(RAW_COLUMNS))
+    damaged = {
+        "short": "1,2,3", "long": good + ",5,6,7,8,9", "split": good[:-2] + ',"3\nbreak"',
+    }
+    for name, line in {"fine": good.replace("1,1", '1,"a ""quoted"" one"', 1), **damaged}.items():
+        path = tmp_path / f"{name}.csv"
+        path.write_text(f"{header}\n{good}\n{line}\n")
+        found = malformed_rows(spark, str(path)).first()
+        bad = found.wrong_field_count + found.open_quotes
+        if name == "fine":
+            assert bad == 0 and Warehouse.from_csv(spark, str(path)).staging().count() == 2
+            continue
+        assert bad > 0
+        with pytest.raises(MalformedExportError):
+            Warehouse.from_csv(spark, str(path)).staging()
+        assert Warehouse.from_csv(spark, str(path), allow_malformed=True).staging().count() >= 2
+    whole = malformed_rows(spark, str(tmp_path / "split.csv"), multi_line=True).first()
+    assert tuple(whole) == (2, 0, 0)
