@@ -119,6 +119,75 @@ def any_mismatch(patterns: dict[str, str]) -> Column:
     return combined
 
 
+def _mismatches(
+    df: DataFrame, patterns: dict[str, str], ignore: tuple[str, ...]
+) -> dict[str, Column]:
+    return {
+        name: ~F.col(name).isin(*ignore) & not_matching(name, pattern)
+        if ignore
+        else not_matching(name, pattern)
+        for name, pattern in patterns.items()
+    }
+
+
+def pattern_check(
+    df: DataFrame, patterns: dict[str, str], ignore: tuple[str, ...] = ()
+) -> DataFrame:
+    """(column_name, bad_rows) per column, in one pass; texts in ``ignore`` are not checked."""
+    return as_long(count_each(df, _mismatches(df, patterns, ignore)), "column_name", "bad_rows")
+
+
+def pattern_offenders(
+    df: DataFrame, patterns: dict[str, str], ignore: tuple[str, ...] = ()
+) -> DataFrame:
+    """The rows with a mismatch, and the names of their columns as ``bad_columns``."""
+    found = [F.when(bad, F.lit(name)) for name, bad in _mismatches(df, patterns, ignore).items()]
+    marked = df.withColumn("bad_columns", F.array_compact(F.array(*found)))
+    return marked.where(F.size("bad_columns") > 0)
+
+
+def hypothesis_test(
+    df: DataFrame,
+    formulas: dict[str, Column],
+    actual: Column,
+    tolerance: str = "0.01",
+    total: str = "total",
+    every: str = "every",
+    none: str = "none",
+) -> DataFrame:
+    """One row: all rows, rows that each formula explains, that every one does, that none does."""
+    fits = {name: within(formula, actual, tolerance) for name, formula in formulas.items()}
+    all_fit, some_fit = F.lit(True), F.lit(False)
+    for fit in fits.values():
+        all_fit, some_fit = all_fit & fit, some_fit | fit
+    return count_each(df, {total: F.lit(True), **fits, every: all_fit, none: ~some_fit})
+
+
+def cascade_exclude(df: DataFrame, excluded: DataFrame, *keys: str) -> DataFrame:
+    """Rows whose ``keys`` are not among the excluded ones; for each table that carries the keys.
+
+    Written exclusions are joined at whatever strategy their size allows.
+    """
+    return df.join(excluded.select(*keys), list(keys), "left_anti")
+
+
+def reconcile(counts: DataFrame, actual: DataFrame) -> DataFrame:
+    """(table_name, staged, excluded, expected, actual, difference).
+
+    ``counts`` has (table_name, staged, excluded), ``actual`` (table_name, row_count); what is
+    staged and not excluded should be there.
+    """
+    expected, found = F.col("staged") - F.col("excluded"), F.col("row_count")
+    return counts.join(actual, "table_name").select(
+        "table_name",
+        "staged",
+        "excluded",
+        expected.alias("expected"),
+        found.alias("actual"),
+        (found - expected).alias("difference"),
+    )
+
+
 def length_bounds(df: DataFrame, columns: dict[str, str]) -> DataFrame:
     """One row: per output name, the longest text of a column."""
     return df.agg(*[F.max(F.length(c)).cast("bigint").alias(name) for name, c in columns.items()])

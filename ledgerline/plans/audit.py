@@ -555,29 +555,44 @@ def discount_candidates(order_amounts: DataFrame) -> DataFrame:
     return order_amounts.where(repeated & (F.col("shared_discount") != 0))
 
 
-def _explained_by(discount: str) -> Column:
-    return within(F.col("sum_gross") - F.col(discount), F.col("order_grand_total"))
+def _discount_formulas() -> dict[str, Column]:
+    """How the items of an order and its one discount may add up to its total."""
+    return {
+        "order_level": F.col("sum_gross") - F.col("shared_discount"),
+        "item_level": F.col("sum_gross") - F.col("summed_discount"),
+    }
+
+
+def discount_hypotheses(order_amounts: DataFrame) -> DataFrame:
+    """Both formulas and the residual from one pass over the orders."""
+    return checks.hypothesis_test(
+        discount_candidates(order_amounts), _discount_formulas(), F.col("order_grand_total"),
+        total="total_candidates", every="both", none="neither",
+    )
 
 
 def discount_order_level(order_amounts: DataFrame) -> DataFrame:
-    fits = _explained_by("shared_discount")
-    return count_each(
-        discount_candidates(order_amounts),
-        {"total_candidates": F.lit(True), "matches_hypothesis": fits, "mismatches": ~fits},
+    tested = discount_hypotheses(order_amounts)
+    return tested.select(
+        "total_candidates",
+        F.col("order_level").alias("matches_hypothesis"),
+        (F.col("total_candidates") - F.col("order_level")).alias("mismatches"),
     )
 
 
 def discount_item_level(order_amounts: DataFrame) -> DataFrame:
-    fits = _explained_by("summed_discount")
-    return count_rows(discount_candidates(order_amounts), fits, "matches_summed_hypothesis")
+    tested = discount_hypotheses(order_amounts)
+    return tested.select(F.col("item_level").alias("matches_summed_hypothesis"))
 
 
 def discount_residual(order_amounts: DataFrame, limit: int | None = None) -> DataFrame:
     """Candidate orders that neither formula explains; ``limit`` gives a sample."""
     amounts = ["sum_gross", "shared_discount", "summed_discount", "order_grand_total"]
+    actual = F.col("order_grand_total")
+    explained = {name: within(formula, actual) for name, formula in _discount_formulas().items()}
     rows = (
         discount_candidates(order_amounts)
-        .where(~_explained_by("shared_discount") & ~_explained_by("summed_discount"))
+        .where(~explained["order_level"] & ~explained["item_level"])
         .select("increment_id", *amounts)
     )
     if limit is not None:
@@ -585,21 +600,6 @@ def discount_residual(order_amounts: DataFrame, limit: int | None = None) -> Dat
     return _as_double(rows, *amounts)
 
 
-def discount_hypotheses(order_amounts: DataFrame) -> DataFrame:
-    """Both formulas and the residual from one grouping of the orders."""
-    shared, summed = _explained_by("shared_discount"), _explained_by("summed_discount")
-    return count_each(
-        discount_candidates(order_amounts),
-        {
-            "total_candidates": F.lit(True),
-            "order_level": shared,
-            "item_level": summed,
-            "both": shared & summed,
-            "neither": ~shared & ~summed,
-        },
-    )
-
-
 def order_text_max_length(staging: DataFrame) -> DataFrame:
     return checks.length_bounds(
         valid_rows(staging),

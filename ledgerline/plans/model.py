@@ -23,6 +23,7 @@ from ledgerline.functions.text import (
 )
 from ledgerline.operators.checks import (
     as_long,
+    cascade_exclude,
     count_rows,
     majority_value,
     valid_rows,
@@ -114,7 +115,7 @@ def build_split_orders(
         .select("increment_id", "customer_id")
         .distinct()
         .join(service_accounts, "customer_id", "left_semi")
-        .join(excluded_orders.select("increment_id"), "increment_id", "left_anti")
+        .transform(cascade_exclude, excluded_orders, "increment_id")
     )
 
 
@@ -123,7 +124,7 @@ def customer_key() -> Column:
 
 
 def _without_split(rows: DataFrame, split_orders: DataFrame) -> DataFrame:
-    return rows.join(split_orders, ["increment_id", "customer_id"], "left_anti")
+    return cascade_exclude(rows, split_orders, "increment_id", "customer_id")
 
 
 def build_customers(
@@ -132,7 +133,7 @@ def build_customers(
     known = order_flags.where(null_tokens("customer_id").isNotNull())
     return (
         _without_split(known, split_orders)
-        .join(excluded_orders.select("increment_id"), "increment_id", "left_anti")
+        .transform(cascade_exclude, excluded_orders, "increment_id")
         .select(
             customer_key().alias("customer_id"),
             parse_date(null_tokens("customer_since"), SINCE_FORMAT).alias("customer_since"),
@@ -161,8 +162,7 @@ def build_orders(
         F.nullif("status", F.lit(BLANK)).alias("status"),
         money("grand_total").alias("grand_total"),
     )
-    excluded = excluded_orders.select("increment_id")
-    return headers.distinct().join(excluded, "increment_id", "left_anti")
+    return cascade_exclude(headers.distinct(), excluded_orders, "increment_id")
 
 
 def build_order_items(staging: DataFrame, excluded_orders: DataFrame) -> DataFrame:
@@ -177,7 +177,7 @@ def build_order_items(staging: DataFrame, excluded_orders: DataFrame) -> DataFra
         valid_rows(staging)
         .where(is_regular_sku("sku") & F.col("increment_id").isNotNull())
         .select("item_id", "increment_id", "sku", "price", "qty_ordered", "discount_amount")
-        .join(excluded_orders.select("increment_id"), "increment_id", "left_anti")
+        .transform(cascade_exclude, excluded_orders, "increment_id")
         .select(
             F.col("item_id").try_cast("bigint").alias("item_id"),
             "increment_id",

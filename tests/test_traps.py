@@ -443,3 +443,32 @@ def test_damaged_exports_stop_the_landing(spark, tmp_path):
         assert Warehouse.from_csv(spark, str(path), allow_malformed=True).staging().count() >= 2
     whole = malformed_rows(spark, str(tmp_path / "split.csv"), multi_line=True).first()
     assert tuple(whole) == (2, 0, 0)
+
+
+# --- operators on any table -----------------------------------------------------
+
+
+def test_pattern_check_per_column(spark):
+    df = spark.createDataFrame([("1", "a"), ("x", "b"), ("", "7"), ("y", "8"), (None, "c")], "n string, w string")
+    patterns = {"n": "^[0-9]+$", "w": "^[a-z]$"}
+    found = {r.column_name: r.bad_rows for r in checks.pattern_check(df, patterns).collect()}
+    assert found == {"n": 3, "w": 2}
+    found = {r.column_name: r.bad_rows for r in checks.pattern_check(df, patterns, ignore=("",)).collect()}
+    assert found == {"n": 2, "w": 2}
+    bad = {(r.n, r.w): r.bad_columns for r in checks.pattern_offenders(df, patterns, ignore=("",)).collect()}
+    assert bad == {("x", "b"): ["n"], ("", "7"): ["w"], ("y", "8"): ["n", "w"]}
+
+
+def test_hypotheses_of_any_table(spark):
+    df = spark.createDataFrame([(1, 2, 3), (1, 2, 2), (2, 2, 4), (1, 1, 9)], "a int, b int, c int")
+    a, b = F.col("a").cast("decimal(9,2)"), F.col("b").cast("decimal(9,2)")
+    found = checks.hypothesis_test(df, {"added": a + b, "multiplied": a * b}, F.col("c"), tolerance="0")
+    assert tuple(found.first()) == (4, 2, 2, 1, 1)
+
+
+def test_reconcile_and_cascade_of_any_table(spark):
+    counts = spark.createDataFrame([("t", 10, 3), ("u", 5, 0)], "table_name string, staged long, excluded long")
+    actual = spark.createDataFrame([("t", 7), ("u", 4)], "table_name string, row_count long")
+    assert sorted(map(tuple, checks.reconcile(counts, actual).collect())) == [("t", 10, 3, 7, 7, 0), ("u", 5, 0, 5, 4, -1)]
+    gone = spark.createDataFrame([(1, "x"), (2, "y")], "k int, reason string")
+    assert [r.k for r in checks.cascade_exclude(spark.range(1, 5).selectExpr("int(id) k"), gone, "k").orderBy("k").collect()] == [3, 4]
