@@ -8,9 +8,10 @@ and sign substitutes as the letters they stand for, and one blank for all that l
 between words; letters set apart one by one are joined.
 
 Nyström's method maps a string to its kernel values with ``LANDMARKS`` words of the
-training texts, half of them typical of toxic ones, half frequent in others, whitened by
-the landmarks' own kernel. A linear machine on that map is a sum of one weight per
-sequence, so scoring a text takes a look-up per gap pattern and position, no landmark.
+training texts, whitened by the landmarks' own kernel: words typical of toxic texts, up to
+three quarters of them, and frequent words of the others. A linear machine on that map is
+a sum of one weight per sequence, so scoring a text takes a look-up per gap pattern and
+position, no landmark.
 
 Labels are given per document, but a few words make it toxic: the machine is trained in
 rounds on the highest windows, of ``WINDOW`` positions, of toxic and of other documents
@@ -48,7 +49,7 @@ MOST_GAPS = 2
 DECAY = 0.5
 WINDOW = 8
 TOP_WINDOWS = 3
-LANDMARKS = 96
+LANDMARKS = 320
 ROUNDS = 4
 # A landmark typical of toxic texts is in so many of them, and in so many standard
 # deviations more than its share of all texts would give.
@@ -271,7 +272,7 @@ def _landmark_words(
     scored = sorted((-surplus(w), w) for w, n in found[0].items() if n >= LEAST_SUPPORT)
     typical: dict[tuple[int, ...], float] = {}
     for negative, word in scored:
-        if len(typical) == LANDMARKS // 2 or -negative < LEAST_SURPLUS:
+        if len(typical) == 3 * LANDMARKS // 4 or -negative < LEAST_SURPLUS:
             break
         typical[word] = -negative
     usual = [w for _, w in sorted((-n, w) for w, n in found[1].items()) if w not in typical]
