@@ -2,10 +2,13 @@
 
 Lines that begin with ``>`` are quotes; the number of such marks, blanks between them
 aside, is the level. Successive lines of one level are a passage, and so are successive
-own lines. Passages are compared line by line, each line normalised (case, marks and
-blanks folded) and hashed with its conversation: a quoted line belongs to the earliest
-message of its conversation that has it as an own line. A quoted line that no earlier
-message holds stays unlinked.
+own lines. A passage is compared as a whole: its letters and digits without case, marks,
+blanks and line breaks, hashed with its conversation. So it is found however a mail
+client wraps it, and it belongs to the earliest message of its conversation that has it
+as an own passage. Of a quoted passage that no earlier message holds (a partial quote)
+each line belongs to the earliest message that has it as an own line, normalised (case,
+marks and blanks folded). A quoted line that neither way finds stays unlinked. Lines
+without any letter or digit tell no message.
 
 A message replies to the message that its quotes of the lowest linked level come from:
 that with most lines, the latest one of equals. Messages linked so are a thread, named by
@@ -24,7 +27,7 @@ no rows; other columns are not read.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerline.operators.numbering import in_ranges, row_number_in_ranges
@@ -33,6 +36,8 @@ from ledgerline.sources.workspace import Workspace
 QUOTE = r"^[ \t]*((?:>[ \t]?)+)"
 # The line before a quote that says whose it is, in some languages (fixed values).
 ANNOUNCEMENT = r"(?i)^.*\b(wrote|writes|said|schrieb|écrit|escribió)\b.*:[ \t]*$"
+# Signs that part passages, and their level from their lines, inside a text.
+_BEGIN, _LEVEL = "\x01", "\x02"
 # Shorter lines, as "ok" or "thanks", are found in too many messages to tell one.
 LEAST_LINE = 8
 
@@ -48,15 +53,45 @@ def normalised(line: Column) -> Column:
     return F.trim(bare)
 
 
-def _lines(messages: DataFrame, *keys: str) -> DataFrame:
-    """One row per line that can tell a message: ``keys``, level and hash of the normalised line."""
-    text = F.coalesce("text", F.lit(""))
-    split = messages.select(*keys, F.explode(F.split(text, "\r?\n")).alias("line"))
-    plain = normalised(F.col("line"))
-    return split.where(F.length(plain) >= LEAST_LINE).select(
+def _passages(messages: DataFrame, *keys: str) -> DataFrame:
+    """One row per passage: ``keys``, ``place``, ``level``, ``lines``, ``whole`` and ``parts``.
+
+    ``whole`` is the hash of the passage, ``parts`` are those of its lines; ``lines`` counts them.
+    """
+    text = F.translate(F.coalesce("text", F.lit("")), _BEGIN + _LEVEL, "")
+    lines = F.split(text, "\r?\n")
+    levels = F.transform(lines, quote_level)
+    before = F.slice(F.concat(F.array(F.lit(-1)), levels), 1, F.size(lines))
+    beside = F.arrays_zip(lines.alias("line"), levels.alias("level"), before.alias("before"))
+    # A line that goes on with the passage follows a break, another one begins with its level.
+    marked = F.transform(
+        beside,
+        lambda x: F.concat(
+            F.when(x["level"] == x["before"], F.lit("\n")).otherwise(
+                F.concat(F.lit(_BEGIN), x["level"].cast("string"), F.lit(_LEVEL))
+            ),
+            x["line"],
+        ),
+    )
+    # A text without any mark is one passage.
+    run_on = F.when(text.contains(">"), F.array_join(marked, "")).otherwise(F.concat(F.lit(f"0{_LEVEL}"), text))
+    split = messages.select(*keys, F.posexplode(F.split(run_on, _BEGIN)).alias("place", "passage"))
+    body = F.split(F.substring_index("passage", _LEVEL, -1), "\r?\n")
+    plain = split.where("passage <> ''").select(
         *keys,
-        quote_level(F.col("line")).alias("level"),
-        F.xxhash64("conv_id", plain).alias("hash"),
+        "place",
+        F.substring_index("passage", _LEVEL, 1).cast("int").alias("level"),
+        F.filter(F.transform(body, normalised), lambda x: x != "").alias("plain"),
+    )
+    whole = F.regexp_replace(F.array_join("plain", ""), " ", "")
+    telling = F.filter("plain", lambda x: F.length(x) >= LEAST_LINE)
+    return plain.where(F.length(whole) >= LEAST_LINE).select(
+        *keys,
+        "place",
+        "level",
+        F.size("plain").alias("lines"),
+        F.xxhash64("conv_id", F.lit("passage"), whole).alias("whole"),
+        F.transform(telling, lambda x: F.xxhash64("conv_id", x)).alias("parts"),
     )
 
 
@@ -80,27 +115,47 @@ def own_text(text: Column) -> Column:
 def _replies(messages: DataFrame) -> DataFrame:
     """(conversation, turn, text hash), the turn replied to, and how many quoted lines are linked.
 
-    Both sides are reduced before they meet: originals to one row per line, quotes to one
-    row per message, level and line, so a line that everybody writes or quotes is no group.
+    Both sides are reduced before they meet: originals to one row per passage or line, quotes
+    to one row per message, passage and line, so a line that everybody writes or quotes is no group.
     """
     known = messages.where(F.col("conv_id").isNotNull() & F.col("turn").isNotNull())
     originals = (
-        _lines(known, "conv_id", "turn")
+        _passages(known, "conv_id", "turn")
         .where("level = 0")
+        .select("turn", F.explode(F.concat(F.array("whole"), "parts")).alias("hash"))
         .groupBy("hash")
         .agg(F.min("turn").alias("original"))
     )
     message = ("conv_id", "turn", "text_hash")
     quoting = known.where(F.col("text").contains(">")).withColumn("text_hash", F.xxhash64("text"))
+    passage = (*message, "place", "level")
+    # The whole passage stands for all its lines, each line for itself.
+    whole = F.struct(F.lit(True).alias("entire"), F.col("whole").alias("quoted"), F.col("lines"))
+    each = F.transform(
+        "parts", lambda x: F.struct(F.lit(False).alias("entire"), x.alias("quoted"), F.lit(1).alias("lines"))
+    )
     quoted = (
-        _lines(quoting.dropDuplicates(message), *message)
+        _passages(quoting.dropDuplicates(message), *message)
         .where("level > 0")
-        .groupBy(*message, "level", "hash")
-        .agg(F.count("*").alias("n"))
-        .withColumnRenamed("hash", "quoted")
+        .select(*passage, F.explode(F.concat(F.array(whole), each)).alias("part"))
+        .select(*passage, "part.*")
+        .groupBy(*passage, "entire", "quoted")
+        .agg(F.sum("lines").alias("n"))
+    )
+    linked = (
+        quoted.join(originals, F.col("quoted") == F.col("hash"))
+        .where("original < turn")
+        .groupBy(*passage, "entire", "original")
+        .agg(F.sum("n").alias("n"))
+    )
+    # Lines count where the passage as a whole is not found.
+    found = F.max("entire").over(Window.partitionBy(*passage))
+    per_original = (
+        linked.withColumn("found", found)
+        .where("entire = found")
+        .groupBy(*message, "level", "original")
+        .agg(F.sum("n").alias("n"))
     )
-    linked = quoted.join(originals, F.col("quoted") == F.col("hash")).where("original < turn")
-    per_original = linked.groupBy(*message, "level", "original").agg(F.sum("n").alias("n"))
     # The least of (level, -lines, -turn): the lowest level, the most lines, the latest message.
     choice = F.struct("level", (-F.col("n")).alias("n"), (-F.col("original")).alias("back"))
     return (

@@ -142,3 +142,19 @@ def test_a_long_chain_of_replies(spark):
     rows = [(1, t, "a", f"> this is message {t - 1}\nthis is message {t}") for t in range(200)]
     got = answered(spark, rows)
     assert {r.turn: (r.thread, r.depth) for r in got} == {t: (0, t) for t in range(200)}
+
+
+def test_rewrapped_passages(spark):
+    """A passage is found however its lines break, also in a script without blanks."""
+    words = "one long sentence that a mail client breaks where it wants to, over several lines"
+    rows = [
+        (1, 0, "a", words), (1, 1, "b", "> one long sentence that a mail\n> client breaks where it wants to,\n> over several lines\nfirst answer given"),
+        (1, 2, "a", "> > One long sentence that a mail client\n> > breaks where it wants to, over several lines\n> first\n> answer given\nthe second answer"),
+        (2, 0, "a", "a line of its own\nand another line\nand the third one"), (2, 1, "b", "> a line of its own and\n> another line and the third one\nagreed"),
+        (3, 0, "a", "これは折り返される日本語の長い文です"), (3, 1, "b", "> これは折り返される\n> 日本語の長い文です\n返事"),
+        (4, 0, "a", "the first line here\nthe second line here"), (4, 1, "b", "> the second line here\npartly quoted"),
+    ]
+    got = {(r.conv_id, r.turn): r for r in answered(spark, rows)}
+    assert {k: (r.reply_to, r.linked_lines, r.depth) for k, r in got.items() if k[1]} == {
+        (1, 1): (0, 3, 1), (1, 2): (1, 4, 2), (2, 1): (0, 2, 1), (3, 1): (0, 2, 1), (4, 1): (0, 1, 1),
+    }
