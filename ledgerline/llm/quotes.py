@@ -38,8 +38,6 @@ QUOTE = r"^[ \t]*((?:>[ \t]?)+)"
 ANNOUNCEMENT = r"(?i)^.*\b(wrote|writes|said|schrieb|écrit|escribió)\b.*:[ \t]*$"
 # Signs that part passages, and their level from their lines, inside a text.
 _BEGIN, _LEVEL = "\x01", "\x02"
-# Shorter lines, as "ok" or "thanks", are found in too many messages to tell one.
-LEAST_LINE = 8
 
 
 def quote_level(line: Column) -> Column:
@@ -54,9 +52,9 @@ def normalised(line: Column) -> Column:
 
 
 def _passages(messages: DataFrame, *keys: str) -> DataFrame:
-    """One row per passage: ``keys``, ``place``, ``level``, ``lines``, ``whole`` and ``parts``.
+    """One row per passage: ``keys``, ``place``, ``level``, ``whole`` and ``parts``.
 
-    ``whole`` is the hash of the passage, ``parts`` are those of its lines; ``lines`` counts them.
+    ``whole`` is the hash of the passage, ``parts`` are those of its lines, however short.
     """
     text = F.translate(F.coalesce("text", F.lit("")), _BEGIN + _LEVEL, "")
     lines = F.split(text, "\r?\n")
@@ -84,14 +82,12 @@ def _passages(messages: DataFrame, *keys: str) -> DataFrame:
         F.filter(F.transform(body, normalised), lambda x: x != "").alias("plain"),
     )
     whole = F.regexp_replace(F.array_join("plain", ""), " ", "")
-    telling = F.filter("plain", lambda x: F.length(x) >= LEAST_LINE)
-    return plain.where(F.length(whole) >= LEAST_LINE).select(
+    return plain.where(F.size("plain") > 0).select(
         *keys,
         "place",
         "level",
-        F.size("plain").alias("lines"),
         F.xxhash64("conv_id", F.lit("passage"), whole).alias("whole"),
-        F.transform(telling, lambda x: F.xxhash64("conv_id", x)).alias("parts"),
+        F.transform("plain", lambda x: F.xxhash64("conv_id", x)).alias("parts"),
     )
 
 
@@ -130,7 +126,7 @@ def _replies(messages: DataFrame) -> DataFrame:
     quoting = known.where(F.col("text").contains(">")).withColumn("text_hash", F.xxhash64("text"))
     passage = (*message, "place", "level")
     # The whole passage stands for all its lines, each line for itself.
-    whole = F.struct(F.lit(True).alias("entire"), F.col("whole").alias("quoted"), F.col("lines"))
+    whole = F.struct(F.lit(True).alias("entire"), F.col("whole").alias("quoted"), F.size("parts").alias("lines"))
     each = F.transform(
         "parts", lambda x: F.struct(F.lit(False).alias("entire"), x.alias("quoted"), F.lit(1).alias("lines"))
     )

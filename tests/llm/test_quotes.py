@@ -158,3 +158,76 @@ def test_rewrapped_passages(spark):
     assert {k: (r.reply_to, r.linked_lines, r.depth) for k, r in got.items() if k[1]} == {
         (1, 1): (0, 3, 1), (1, 2): (1, 4, 2), (2, 1): (0, 2, 1), (3, 1): (0, 2, 1), (4, 1): (0, 1, 1),
     }
+
+
+def test_short_quotes(spark):
+    rows = [
+        (1, 0, "a", "yes"), (1, 1, "b", "> yes\nok"), (1, 2, "a", "> ok\n42"), (1, 3, "b", "> 42\n好的"), (1, 4, "a", "> 好的\nthanks"),
+        (2, 0, "a", "is it so\nok"), (2, 1, "b", "ok"), (2, 2, "a", "> ok\nno"), (2, 3, "b", "> so\nno"), (2, 4, "a", "> is it so\nno"),
+    ]
+    got = {(r.conv_id, r.turn): (r.reply_to, r.linked_lines) for r in answered(spark, rows)}
+    assert [got[1, t] for t in range(1, 5)] == [(0, 1), (1, 1), (2, 1), (3, 1)]
+    # As a whole passage "ok" is that of turn 1; a part of a line is no quote of it.
+    assert [got[2, t] for t in range(2, 5)] == [(1, 1), (None, 0), (0, 1)]
+
+
+def whole_brute(rows) -> dict:
+    """As ``brute``, with whole passages before lines and lines of any length."""
+    out, first = {}, {}
+
+    def passages(text):
+        runs, last = [], None
+        for x in (text or "").split("\n"):
+            level = (re.match(r"^[ \t]*((?:>[ \t]?)+)", x) or [""])[0].count(">")
+            if level != last:
+                runs.append((level, []))
+            runs[-1][1].extend([plain(x)] if plain(x) else [])
+            last = level
+        return [(level, lines) for level, lines in runs if lines]
+
+    squeeze = lambda lines: ("whole", "".join(lines).replace(" ", ""))
+    ordered = sorted(rows, key=lambda r: r[1])
+    for conv, turn, _, text in ordered:
+        for level, lines in passages(text):
+            for key in [] if level else [squeeze(lines), *lines]:
+                first.setdefault((conv, key), turn)
+    for conv, turn, _, text in ordered:
+        found = Counter()
+        for level, lines in passages(text):
+            source = first.get((conv, squeeze(lines)), turn)
+            for x in lines if level else []:
+                original = source if source < turn else first.get((conv, x), turn)
+                if original < turn:
+                    found[level, original] += 1
+        best = min(found, key=lambda k: (k[0], -found[k], -k[1]), default=(0, None))[1]
+        parent = out.get((conv, best))
+        out[conv, turn] = (best, found.total(), parent[2] if parent else turn, parent[3] + 1 if parent else 0)
+    return out
+
+
+def test_short_lines_and_breaks_against_brute_force(spark, conversations):
+    """The same threads, and such whose quotes break at other places or repeat one-word answers."""
+    random.seed(6)
+    rows = list(conversations)
+    for conv in range(100, 130):
+        texts = []
+        for turn in range(random.randint(1, 14)):
+            own = [random.choice(("yes", "no", "ok ok", " ".join(random.choices("abcdefgh", k=12)))) for _ in range(random.randint(1, 2))]
+            quoted = []
+            if texts and random.random() < 0.8:
+                words, size = random.choice(texts).split(), random.randint(1, 9)
+                quoted = ["> " + " ".join(words[i : i + size]) for i in range(0, len(words), size)]
+            texts.append("\n".join(own))
+            rows.append((conv, turn, "user", "\n".join([*quoted, *own])))
+    got = {(r.conv_id, r.turn): (r.reply_to, r.linked_lines, r.thread, r.depth) for r in answered(spark, rows)}
+    assert got == whole_brute(rows)
+
+
+def test_against_sql_without_short_lines(spark, conversations):
+    """Where no line is short and quotes keep their lines, the line rule of the twin finds the same."""
+    rows = [(*r[:3], r[3].replace("word", "vocabulary")) for r in conversations]
+    con = duckdb.connect()
+    con.sql("CREATE TABLE conversations(conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR)")
+    con.executemany("INSERT INTO conversations VALUES (?, ?, ?, ?)", rows)
+    twin = con.sql(f"SELECT {', '.join(NAMES)} FROM ({ORACLE_SQL['op10_quotes']})").fetchall()
+    assert Counter(tuple(r[n] for n in NAMES) for r in answered(spark, rows)) == Counter(twin)
