@@ -16,10 +16,15 @@ def held_out(doc_id: Column) -> Column:
 def per_label(rows: DataFrame, label: str, count: int) -> DataFrame:
     """``doc_id`` and label of at most ``count`` documents per label, those with the least hashes.
 
-    The sizes of the labels, one number each, say which hashes are small enough, so that
-    only about twice the rows wanted are ranked. NULL ids and labels are left out.
+    The sizes of the labels in different documents, one number each, say which hashes are
+    small enough, so that only about twice the documents wanted are ranked; repeated rows
+    count once. NULL ids and labels are left out.
     """
-    known = rows.select("doc_id", label).where(F.col("doc_id").isNotNull() & F.col(label).isNotNull())
+    known = (
+        rows.select("doc_id", label)
+        .where(F.col("doc_id").isNotNull() & F.col(label).isNotNull())
+        .distinct()
+    )
     sizes = known.groupBy(label).count().collect()
     if not sizes:
         return known.limit(0)
@@ -29,7 +34,6 @@ def per_label(rows: DataFrame, label: str, count: int) -> DataFrame:
     first = Window.partitionBy(label).orderBy("hash", "doc_id")
     return (
         hashed.where(F.col("hash") < limit)
-        .distinct()
         .withColumn("place", F.row_number().over(first))
         .where(F.col("place") <= count)
         .select("doc_id", label)
