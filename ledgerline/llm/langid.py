@@ -9,6 +9,12 @@ are lower case; everything between words is one blank, which counts as a letter.
 Prototypes are learned from a bounded sample: of every language, the ``PER_LANGUAGE``
 documents with the least hashes of their ids. Their vectors are summed in the tasks.
 
+What a language accepts is learned from the same documents: each, and beginnings of it of
+doubling length, is compared with the sum of the others, and the low quantile of these
+cosines is the limit of its length, by powers of two of the letter triples. Limits do not
+fall with length; lengths that too few documents reach have the limit of the next shorter
+one, or none.
+
 Defined results: a text that is NULL or has no letter is ``und`` with score 0, as are all
 if nothing could be learned; equal cosines go to the first language by code point;
 repeated rows are answered alike; an empty table gives none; other columns are not read.
@@ -32,9 +38,10 @@ from ledgerline.llm.text import bound_batches, slices
 DIMENSIONS = 1024
 PER_LANGUAGE = 400
 UNDETERMINED = "und"
-# A text of so many letter triples and a smaller cosine is not taken for any language.
-LEAST_GRAMS = 100
-ACCEPTED_SCORE = 0.15
+# A text is in a language if its cosine is not below this quantile of what documents of the
+# language have at its length; it takes so many documents to tell.
+LOW_QUANTILE = 0.01
+LEAST_DOCUMENTS = 20
 
 _ROWS = 256
 _GRAMS = 8192
@@ -128,22 +135,72 @@ def _bundled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def learn(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> tuple[list[str], np.ndarray]:
-    """(languages, prototypes) from ``doc_id``, ``text`` and ``lang``.
-
-    What comes to the driver is one vector per language and task of the sample.
-    """
-    bound_batches(labelled.sparkSession)
-    sample = texts_of(labelled, per_label(labelled, "lang", per_language))
+def _sums(sample: DataFrame) -> dict[str, np.ndarray]:
+    """The sum of unit vectors of each language; one vector per language and task is collected."""
     rows = sample.select("text", "lang").mapInArrow(_bundled, "lang string, bundle string").collect()
     sums: dict[str, np.ndarray] = {}
     for lang, bundle in sorted(map(tuple, rows)):
         sums[lang] = sums.get(lang, 0) + np.frombuffer(base64.b64decode(bundle), np.float64)
+    return sums
+
+
+def _prototypes(sums: dict[str, np.ndarray]) -> tuple[list[str], np.ndarray]:
     languages = sorted(sums)
     prototypes = np.array([sums[x] for x in languages]).reshape(len(languages), DIMENSIONS)
     return languages, _unit(prototypes).astype(np.float32)
 
 
+def learn(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> tuple[list[str], np.ndarray]:
+    """(languages, prototypes) from ``doc_id``, ``text`` and ``lang``."""
+    bound_batches(labelled.sparkSession)
+    return _prototypes(_sums(texts_of(labelled, per_label(labelled, "lang", per_language))))
+
+
+def _compared(batches: Iterator[pa.RecordBatch], sums: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """Power of two of the triples, and cosine with the other documents, of texts and their beginnings."""
+    for batch in batches:
+        found: list[tuple[str, int, float]] = []
+        for some in _parts(batch):
+            texts = some.column("text").to_pylist()
+            for lang, text in zip(some.column("lang").to_pylist(), texts, strict=True):
+                text = text or ""
+                cuts = [text, *(text[: 1 << k] for k in range(2, len(text).bit_length()) if 1 << k < len(text))]
+                vectors, sizes = document_vectors(cuts)
+                vectors = _unit(vectors.astype(np.float64))
+                cosines = vectors @ _unit(sums[lang] - vectors[0])
+                powers: dict[int, float] = {}
+                # One value of a document per length, that of the text itself before beginnings.
+                for size, cosine in zip(sizes.tolist(), cosines.tolist(), strict=True):
+                    if size:
+                        powers.setdefault(size.bit_length() - 1, cosine)
+                found += [(lang, *pair) for pair in powers.items()]
+        lang, power, cosine = zip(*found, strict=True) if found else ((), (), ())
+        schema = pa.schema([("lang", pa.string()), ("power", pa.int32()), ("cosine", pa.float64())])
+        yield pa.RecordBatch.from_pydict({"lang": lang, "power": power, "cosine": cosine}, schema)
+
+
+def _limits(sample: DataFrame, sums: dict[str, np.ndarray]) -> dict[str, list[float]]:
+    """The least cosine that each language accepts, by the power of two of the triples.
+
+    A handful of numbers per document of the bounded sample comes to the driver.
+    """
+    compared = sample.select("text", "lang").mapInArrow(
+        partial(_compared, sums=sums), "lang string, power int, cosine double"
+    )
+    values: dict[str, dict[int, list[float]]] = {lang: {} for lang in sums}
+    for lang, power, cosine in compared.collect():
+        values[lang].setdefault(power, []).append(cosine)
+    limits: dict[str, list[float]] = {}
+    for lang, by_power in values.items():
+        limits[lang], limit = [], -1.0
+        for power in range(max(by_power, default=0) + 1):
+            measured = by_power.get(power, [])
+            if len(measured) >= LEAST_DOCUMENTS:
+                limit = max(limit, float(np.quantile(measured, LOW_QUANTILE, method="lower")))
+            limits[lang].append(limit)
+    return limits
+
+
 def _identified(
     batches: Iterator[pa.RecordBatch], languages: list[str], prototypes: np.ndarray
 ) -> Iterator[pa.RecordBatch]:
@@ -194,14 +251,19 @@ def predict_languages(docs: DataFrame) -> DataFrame:
 def accepted(docs: DataFrame) -> DataFrame:
     """The documents in some language that could be learned, with their own columns.
 
-    Short texts pass with any cosine, since a few letters tell little.
+    Short texts have low limits, since a few letters tell little.
     """
-    model = learn(docs.select("doc_id", "text", "lang").where(~held_out(F.col("doc_id"))))
-    names = [name for name in docs.columns]
+    bound_batches(docs.sparkSession)
+    labelled = docs.select("doc_id", "text", "lang").where(~held_out(F.col("doc_id")))
+    sample = texts_of(labelled, per_label(labelled, "lang", PER_LANGUAGE))
+    sums = _sums(sample)
     others = [F.col(f"`{name}`") for name in docs.columns if name != "text"]
-    judged = identify(docs.select(F.struct(*others).alias("row"), "text"), *model)
-    near = (F.col("score") >= ACCEPTED_SCORE) | (F.col("n_grams") < LEAST_GRAMS)
-    known = (F.col("lang_pred") != UNDETERMINED) & near
-    return judged.where(known).select(
+    judged = identify(docs.select(F.struct(*others).alias("row"), "text"), *_prototypes(sums))
+    power = F.length(F.bin("n_grams")) - 1
+    near = F.lit(False)
+    for lang, limits in (_limits(sample, sums) if sums else {}).items():
+        of_length = F.array(*map(F.lit, limits))[F.least(power, F.lit(len(limits) - 1))]
+        near = near | ((F.col("lang_pred") == lang) & (F.col("score") >= of_length))
+    return judged.where((F.col("n_grams") > 0) & near).select(
         *[F.col("text") if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns]
     )

@@ -63,3 +63,18 @@ def test_bundles_are_sums_of_bound_vectors():
     for x, y, z in (" ab", "ab ", " a "):
         slow += np.roll(letters[x], 2) * np.roll(letters[y], 1) * letters[z]
     assert (fast == slow).all() and sizes.tolist() == [3]
+
+
+def test_what_is_in_no_learned_language_goes(spark):
+    """Of languages in learned numbers, clean documents stay; other languages and repeated words go."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    dutch = "De hond loopt door het bos en de kat zit op het dak van het oude huis, waar de zon elke dag schijnt en de kinderen buiten spelen met een bal. "
+    italian = "Il cane corre nel bosco e il gatto siede sul tetto della vecchia casa, dove il sole splende ogni giorno e i bambini giocano fuori con una palla. "
+    added = [(-1, dutch * 2, None), (-2, italian * 2, None), (-3, "To " * 300, None), (-4, dutch, None)]
+    table = docs.select("doc_id", "text", "lang").unionByName(spark.createDataFrame(added, "doc_id long, text string, lang string"))
+    kept = {r.doc_id for r in langid.accepted(table).collect()}
+    assert not kept & {-1, -2, -3, -4}
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").where("quality = 1")
+    clean = {r.doc_id for r in docs.join(labels, "doc_id").select("doc_id").collect()}
+    print("kept", len([i for i in kept if i >= 0]), docs.count(), "clean", len(clean & kept), len(clean))
+    assert len(clean) > 100 and len(clean & kept) >= 0.98 * len(clean)
