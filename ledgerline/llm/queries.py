@@ -6,7 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerline.llm import fingerprint, jaccard_join, langid, mixing, packing, quality, quotes, token_spans, toxicity, warc
+from ledgerline.llm import (
+    alignment, fingerprint, jaccard_join, langid, mixing, packing, quality, quotes, token_spans,
+    toxicity, warc,
+)
 from ledgerline.sources.workspace import Workspace
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -61,6 +64,11 @@ def op10_quotes(spark: SparkSession, folder: str) -> DataFrame:
     return quotes.link_quotes(_table(spark, folder, "conversations"), Workspace(spark, "quotes"))
 
 
+def op11_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents")
+    return alignment.Alignment(docs, Workspace(spark, "alignment")).digests()
+
+
 QUERIES: dict[str, Query] = {
     "op1_language_id": op1_language_id,
     "op2_fingerprint": op2_fingerprint,
@@ -72,6 +80,7 @@ QUERIES: dict[str, Query] = {
     "op8_token_spans": op8_token_spans,
     "op9_packing": op9_packing,
     "op10_quotes": op10_quotes,
+    "op11_alignment": op11_alignment,
 }
 
 # Bare upper-case base 32 of SHA-1: five hexadecimal digits are four characters.
