@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgerline.llm import (
-    alignment, fingerprint, jaccard_join, langid, mixing, packing, quality, quotes, token_spans,
+    alignment, fingerprint, html_text, jaccard_join, langid, mixing, packing, quality, quotes, token_spans,
     toxicity, warc,
 )
 from ledgerline.sources.workspace import Workspace
@@ -69,6 +69,10 @@ def op11_alignment(spark: SparkSession, folder: str) -> DataFrame:
     return alignment.Alignment(docs, Workspace(spark, "alignment")).digests()
 
 
+def op12_html_text(spark: SparkSession, folder: str) -> DataFrame:
+    return html_text.extract(_table(spark, folder, "pages"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_language_id": op1_language_id,
     "op2_fingerprint": op2_fingerprint,
@@ -81,6 +85,7 @@ QUERIES: dict[str, Query] = {
     "op9_packing": op9_packing,
     "op10_quotes": op10_quotes,
     "op11_alignment": op11_alignment,
+    "op12_html_text": op12_html_text,
 }
 
 # Bare upper-case base 32 of SHA-1: five hexadecimal digits are four characters.
@@ -190,7 +195,31 @@ SELECT doc_id, any_value(n) AS n_shingles, min(reached) AS component_id
 FROM sized JOIN walk USING (doc_id) GROUP BY doc_id
 """
 
+# For pages that mark their article and hold blocks of headings and paragraphs in it, as the given ones.
+OP12_SQL = r"""
+WITH articles AS (
+    SELECT page_id, url, row_number() OVER () AS page,
+        regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)(?:</article>|$)', 1) AS article
+    FROM pages
+), blocks AS (
+    SELECT page, unnest(parts) AS block, generate_subscripts(parts, 1) AS block_no
+    FROM (SELECT page, string_split_regex(article, '</?(?:p|h[1-6])>') AS parts FROM articles)
+), plain AS (
+    SELECT page, block_no, trim(regexp_replace(
+        regexp_replace(replace(replace(replace(
+            regexp_replace(replace(block, '<br>', ' '), '<[^>]*>', '', 'g'),
+            '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&amp;?', '&', 'g'),
+        '\s+', ' ', 'g')) AS line
+    FROM blocks
+), texts AS (
+    SELECT page, string_agg(line, chr(10) ORDER BY block_no) FILTER (line <> '') AS text FROM plain GROUP BY page
+)
+SELECT page_id, url, coalesce(text, '') AS text, CAST(length(coalesce(text, '')) AS BIGINT) AS n_chars
+FROM articles LEFT JOIN texts USING (page)
+"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op12_html_text": OP12_SQL,
     "op7_jaccard_join": OP7_SQL,
     "op10_quotes": OP10_SQL,
     "op6_warc": OP6_SQL,
