@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ledgerline.llm import (
-    alignment, fingerprint, html_text, jaccard_join, langid, mixing, packing, quality, quotes, token_spans,
+    alignment, fingerprint, hard_negatives, html_text, jaccard_join, langid, mixing, packing, quality, quotes, token_spans,
     toxicity, warc,
 )
 from ledgerline.sources.workspace import Workspace
@@ -73,6 +74,14 @@ def op12_html_text(spark: SparkSession, folder: str) -> DataFrame:
     return html_text.extract(_table(spark, folder, "pages"))
 
 
+def op13_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    rows = _table(spark, folder, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.HardNegatives(
+        rows.withColumn("label", moved), Workspace(spark, "hard-negatives"), F.col("vec_id") % 100 == 0
+    ).negatives()
+
+
 QUERIES: dict[str, Query] = {
     "op1_language_id": op1_language_id,
     "op2_fingerprint": op2_fingerprint,
@@ -86,6 +95,7 @@ QUERIES: dict[str, Query] = {
     "op10_quotes": op10_quotes,
     "op11_alignment": op11_alignment,
     "op12_html_text": op12_html_text,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 # Bare upper-case base 32 of SHA-1: five hexadecimal digits are four characters.
@@ -218,7 +228,31 @@ SELECT page_id, url, coalesce(text, '') AS text, CAST(length(coalesce(text, ''))
 FROM articles LEFT JOIN texts USING (page)
 """
 
+OP13_SQL = """
+WITH taken AS (
+    SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+        list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS vector
+    FROM embeddings
+    WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+        AND coalesce(list_bool_and(list_transform(embedding, lambda x: coalesce(isfinite(x), false))), true)
+), scored AS (
+    SELECT a.vec_id AS anchor_id, r.vec_id AS id, a.label = r.label AS alike,
+        CAST(list_sum(list_transform(list_zip(a.vector, r.vector), lambda p: p[1] * p[2])) AS BIGINT) AS score
+    FROM taken a JOIN taken r ON a.vec_id % 100 = 0 AND r.vec_id <> a.vec_id
+), positives AS (
+    SELECT anchor_id, id AS positive_id, score AS positive_score FROM scored WHERE alike
+    QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5
+)
+SELECT anchor_id, positive_id,
+    CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id) AS INTEGER) AS rank,
+    id AS negative_id, positive_score, score AS negative_score
+FROM positives JOIN scored USING (anchor_id)
+WHERE NOT alike AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+QUALIFY row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id) <= 10
+"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op13_hard_negatives": OP13_SQL,
     "op12_html_text": OP12_SQL,
     "op7_jaccard_join": OP7_SQL,
     "op10_quotes": OP10_SQL,
