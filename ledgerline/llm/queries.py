@@ -129,15 +129,43 @@ WITH RECURSIVE messages AS (
     SELECT *, length(regexp_replace(regexp_extract(line, '^[ \t]*((?:>[ \t]?)+)', 1), '[^>]', '', 'g')) AS level,
         trim(regexp_replace(lower(regexp_replace(line, '^[ \t]*((?:>[ \t]?)+)', '')), '[^\p{L}\p{N}]+', ' ', 'g')) AS plain
     FROM lines
+), parted AS (
+    SELECT *, sum(CASE WHEN level IS DISTINCT FROM before THEN 1 ELSE 0 END) OVER w AS run,
+        sum(CASE WHEN plain = '' THEN 1 ELSE 0 END) OVER w AS gap
+    FROM (SELECT *, lag(level) OVER (PARTITION BY message ORDER BY line_no) AS before FROM levelled)
+    WINDOW w AS (PARTITION BY message ORDER BY line_no)
+), paragraphs AS (
+    SELECT message, conv_id, turn, level, run, gap,
+        string_agg(replace(plain, ' ', ''), '' ORDER BY line_no) AS paragraph
+    FROM parted WHERE plain <> '' GROUP BY message, conv_id, turn, level, run, gap
+), neighbours AS (
+    SELECT *, lead(paragraph) OVER (PARTITION BY message, run ORDER BY gap) AS next FROM paragraphs
+), runs AS (
+    SELECT message, conv_id, turn, level, run, string_agg(paragraph, '' ORDER BY gap) AS body
+    FROM paragraphs GROUP BY message, conv_id, turn, level, run
 ), originals AS (
-    SELECT conv_id, plain, min(turn) AS original FROM levelled
-    WHERE level = 0 AND length(plain) >= 8 AND conv_id IS NOT NULL AND turn IS NOT NULL
-    GROUP BY conv_id, plain
+    SELECT conv_id, kind, body, min(turn) AS original
+    FROM (
+        SELECT conv_id, turn, level, 'passage' AS kind, body FROM runs
+        UNION ALL SELECT conv_id, turn, level, 'passage', paragraph FROM paragraphs
+        UNION ALL SELECT conv_id, turn, level, 'passage', paragraph || next FROM neighbours WHERE next IS NOT NULL
+        UNION ALL SELECT conv_id, turn, level, 'line', plain FROM parted WHERE plain <> ''
+    )
+    WHERE level = 0 AND conv_id IS NOT NULL AND turn IS NOT NULL
+    GROUP BY conv_id, kind, body
+), sources AS (
+    SELECT l.message, l.level, coalesce(
+        CASE WHEN whole.original < l.turn THEN whole.original END,
+        CASE WHEN part.original < l.turn THEN part.original END,
+        CASE WHEN line.original < l.turn THEN line.original END) AS original
+    FROM parted l JOIN runs r USING (message, run) JOIN paragraphs p USING (message, run, gap)
+    LEFT JOIN originals whole ON whole.conv_id = l.conv_id AND whole.kind = 'passage' AND whole.body = r.body
+    LEFT JOIN originals part ON part.conv_id = l.conv_id AND part.kind = 'passage' AND part.body = p.paragraph
+    LEFT JOIN originals line ON line.conv_id = l.conv_id AND line.kind = 'line' AND line.body = l.plain
+    WHERE l.level > 0 AND l.plain <> ''
 ), linked AS (
-    SELECT message, level, original, count(*) AS n
-    FROM levelled JOIN originals USING (conv_id, plain)
-    WHERE level > 0 AND original < turn
-    GROUP BY message, level, original
+    SELECT message, level, original, count(*) AS n FROM sources
+    WHERE original IS NOT NULL GROUP BY message, level, original
 ), replies AS (
     SELECT message, sum(n) OVER (PARTITION BY message) AS linked_lines, original AS reply_to
     FROM linked

@@ -1,14 +1,17 @@
 """Quotation linking: messages without their quotes, in reply order, all in DataFrame functions.
 
 Lines that begin with ``>`` are quotes; the number of such marks, blanks between them
-aside, is the level. Successive lines of one level are a passage, and so are successive
-own lines. A passage is compared as a whole: its letters and digits without case, marks,
-blanks and line breaks, hashed with its conversation. So it is found however a mail
-client wraps it, and it belongs to the earliest message of its conversation that has it
-as an own passage. Of a quoted passage that no earlier message holds (a partial quote)
-each line belongs to the earliest message that has it as an own line, normalised (case,
-marks and blanks folded). A quoted line that neither way finds stays unlinked. Lines
-without any letter or digit tell no message.
+aside, is the level. Successive lines of one level are a run, and so are successive own
+lines; lines without any letter or digit part the paragraphs of a run and tell no message.
+Passages are compared by their letters and digits without case, marks, blanks and line
+breaks, so they are found however a mail client wraps them. The own passages of a message
+are its runs, their paragraphs, and any two neighbouring paragraphs; a passage belongs to
+the earliest message of its conversation that has it.
+
+A quoted run is looked up as a whole. If no earlier message has it, each of its paragraphs
+is; of a paragraph that is not found, each line belongs to the earliest message that has it
+as an own line, normalised (case, marks and blanks folded). A quoted line that none of these
+finds stays unlinked. Lookups compare the conversation and a hash of the passage or line.
 
 A message replies to the message that its quotes of the lowest linked level come from:
 that with most lines, the latest one of equals. Messages linked so are a thread, named by
@@ -51,11 +54,8 @@ def normalised(line: Column) -> Column:
     return F.trim(bare)
 
 
-def _passages(messages: DataFrame, *keys: str) -> DataFrame:
-    """One row per passage: ``keys``, ``place``, ``level``, ``whole`` and ``parts``.
-
-    ``whole`` is the hash of the passage, ``parts`` are those of its lines, however short.
-    """
+def _runs(messages: DataFrame, *keys: str) -> DataFrame:
+    """One row per run: ``keys``, ``place``, ``level``, ``paragraphs`` of normalised lines."""
     text = F.translate(F.coalesce("text", F.lit("")), _BEGIN + _LEVEL, "")
     lines = F.split(text, "\r?\n")
     levels = F.transform(lines, quote_level)
@@ -75,22 +75,24 @@ def _passages(messages: DataFrame, *keys: str) -> DataFrame:
     run_on = F.when(text.contains(">"), F.array_join(marked, "")).otherwise(F.concat(F.lit(f"0{_LEVEL}"), text))
     split = messages.select(*keys, F.posexplode(F.split(run_on, _BEGIN)).alias("place", "passage"))
     body = F.split(F.substring_index("passage", _LEVEL, -1), "\r?\n")
-    plain = split.where("passage <> ''").select(
-        *keys,
-        "place",
-        F.substring_index("passage", _LEVEL, 1).cast("int").alias("level"),
-        F.filter(F.transform(body, normalised), lambda x: x != "").alias("plain"),
-    )
-    whole = F.regexp_replace(F.array_join("plain", ""), " ", "")
-    return plain.where(F.size("plain") > 0).select(
-        *keys,
-        "place",
-        "level",
-        F.xxhash64("conv_id", F.lit("passage"), whole).alias("whole"),
-        F.transform("plain", lambda x: F.xxhash64("conv_id", x)).alias("parts"),
+    plain = F.array_join(F.transform(body, normalised), "\n")
+    level = F.substring_index("passage", _LEVEL, 1).cast("int").alias("level")
+    return (
+        split.where("passage <> ''")
+        .select(*keys, "place", level, F.regexp_replace(plain, r"^\n+|\n+$", "").alias("run"))
+        .where("run <> ''")
+        .select(*keys, "place", "level", F.split("run", "\n{2,}").alias("paragraphs"))
     )
 
 
+def _passage_hash(*paragraphs: Column) -> Column:
+    return F.xxhash64(F.lit("passage"), F.regexp_replace(F.concat(*paragraphs), "[ \n]", ""))
+
+
+def _line_hashes(paragraph: Column) -> Column:
+    return F.transform(F.split(paragraph, "\n"), lambda x: F.xxhash64(x))
+
+
 def own_text(text: Column) -> Column:
     """The text without quoted and announcing lines, and without blank lines at its ends."""
     lines = F.split(F.coalesce(text, F.lit("")), "\r?\n")
@@ -111,44 +113,71 @@ def own_text(text: Column) -> Column:
 def _replies(messages: DataFrame) -> DataFrame:
     """(conversation, turn, text hash), the turn replied to, and how many quoted lines are linked.
 
-    Both sides are reduced before they meet: originals to one row per passage or line, quotes
-    to one row per message, passage and line, so a line that everybody writes or quotes is no group.
+    Both sides are reduced before they meet: originals to one row per passage or line of a
+    conversation, quotes to one row per message, run and passage or line of it, so a line that
+    everybody writes or quotes is no group.
     """
     known = messages.where(F.col("conv_id").isNotNull() & F.col("turn").isNotNull())
+    paragraphs = F.col("paragraphs")
+    whole = _passage_hash(F.array_join(paragraphs, ""))
+    # No sequence without neighbours: sequence(1, 0) would count down.
+    neighbours = F.when(
+        F.size(paragraphs) > 1,
+        F.transform(
+            F.sequence(F.lit(1), F.size(paragraphs) - 1),
+            lambda i: _passage_hash(F.get(paragraphs, i - 1), F.get(paragraphs, i)),
+        ),
+    ).otherwise(F.array().cast("array<bigint>"))
+    own = F.concat(
+        F.array(whole), F.transform(paragraphs, lambda x: _passage_hash(x)), neighbours,
+        F.flatten(F.transform(paragraphs, _line_hashes)),
+    )
     originals = (
-        _passages(known, "conv_id", "turn")
+        _runs(known, "conv_id", "turn")
         .where("level = 0")
-        .select("turn", F.explode(F.concat(F.array("whole"), "parts")).alias("hash"))
-        .groupBy("hash")
+        .select("conv_id", "turn", F.explode(own).alias("hash"))
+        .groupBy("conv_id", "hash")
         .agg(F.min("turn").alias("original"))
     )
     message = ("conv_id", "turn", "text_hash")
     quoting = known.where(F.col("text").contains(">")).withColumn("text_hash", F.xxhash64("text"))
-    passage = (*message, "place", "level")
-    # The whole passage stands for all its lines, each line for itself.
-    whole = F.struct(F.lit(True).alias("entire"), F.col("whole").alias("quoted"), F.size("parts").alias("lines"))
-    each = F.transform(
-        "parts", lambda x: F.struct(F.lit(False).alias("entire"), x.alias("quoted"), F.lit(1).alias("lines"))
+    run = (*message, "place", "level")
+
+    def part(tier: int, number: Column, hashed: Column, lines: Column) -> Column:
+        return F.struct(
+            F.lit(tier).alias("tier"), number.alias("paragraph"), hashed.alias("hash"), lines.alias("lines")
+        )
+
+    def of_paragraph(paragraph: Column, number: Column) -> Column:
+        hashes = _line_hashes(paragraph)
+        entire = part(1, number, _passage_hash(paragraph), F.size(hashes))
+        return F.concat(F.array(entire), F.transform(hashes, lambda x: part(2, number, x, F.lit(1))))
+
+    lines = F.aggregate(paragraphs, F.lit(0), lambda n, x: n + F.size(F.split(x, "\n")))
+    parts = F.concat(
+        F.array(part(0, F.lit(-1), whole, lines)), F.flatten(F.transform(paragraphs, of_paragraph))
     )
     quoted = (
-        _passages(quoting.dropDuplicates(message), *message)
+        _runs(quoting.dropDuplicates(message), *message)
         .where("level > 0")
-        .select(*passage, F.explode(F.concat(F.array(whole), each)).alias("part"))
-        .select(*passage, "part.*")
-        .groupBy(*passage, "entire", "quoted")
+        .select(*run, F.explode(parts).alias("part"))
+        .select(*run, "part.*")
+        .groupBy(*run, "tier", "paragraph", "hash")
         .agg(F.sum("lines").alias("n"))
     )
     linked = (
-        quoted.join(originals, F.col("quoted") == F.col("hash"))
+        quoted.join(originals, ["conv_id", "hash"])
         .where("original < turn")
-        .groupBy(*passage, "entire", "original")
+        .groupBy(*run, "paragraph", "tier", "original")
         .agg(F.sum("n").alias("n"))
     )
-    # Lines count where the passage as a whole is not found.
-    found = F.max("entire").over(Window.partitionBy(*passage))
+    # A run that is found as a whole stands for its paragraphs, a paragraph for its lines.
+    of_run = F.min("tier").over(Window.partitionBy(*run))
+    of_part = F.min("tier").over(Window.partitionBy(*run, "paragraph"))
     per_original = (
-        linked.withColumn("found", found)
-        .where("entire = found")
+        linked.withColumn("of_run", of_run)
+        .withColumn("of_part", of_part)
+        .where("tier = IF(of_run = 0, 0, of_part)")
         .groupBy(*message, "level", "original")
         .agg(F.sum("n").alias("n"))
     )

@@ -31,18 +31,42 @@ def plain(line: str) -> str:
 
 def brute(rows) -> dict:
     """(conversation, turn): reply_to, linked lines, thread, depth; turns are unique here."""
-    level = lambda x: (re.match(r"^[ \t]*((?:>[ \t]?)+)", x) or [""])[0].count(">")
-    first, out = {}, {}
-    for conv, turn, _, text in sorted(rows, key=lambda r: r[1]):
+    out, first = {}, {}
+
+    def runs(text):
+        """(level, paragraphs of plain lines) of successive lines of one level."""
+        found, last = [], None
         for x in (text or "").split("\n"):
-            if level(x) == 0 and len(plain(x)) >= 8:
-                first.setdefault((conv, plain(x)), turn)
-    for conv, turn, _, text in sorted(rows, key=lambda r: r[1]):
+            level = (re.match(r"^[ \t]*((?:>[ \t]?)+)", x) or [""])[0].count(">")
+            if level != last:
+                found.append((level, [[]]))
+            last = level
+            if plain(x):
+                found[-1][1][-1].append(plain(x))
+            else:
+                found[-1][1].append([])
+        return [(level, [p for p in parts if p]) for level, parts in found if any(parts)]
+
+    def passage(*paragraphs):
+        return "passage", "".join(x for p in paragraphs for x in p).replace(" ", "")
+
+    ordered = sorted(rows, key=lambda r: r[1])
+    for conv, turn, _, text in ordered:
+        for level, parts in runs(text):
+            keys = [passage(*parts), *(passage(p) for p in parts)]
+            keys += [passage(*two) for two in zip(parts, parts[1:], strict=False)]
+            keys += [("line", x) for p in parts for x in p]
+            for key in [] if level else keys:
+                first.setdefault((conv, key), turn)
+    for conv, turn, _, text in ordered:
         found = Counter()
-        for x in (text or "").split("\n"):
-            original = first.get((conv, plain(x)), turn)
-            if level(x) and original < turn:
-                found[level(x), original] += 1
+        for level, parts in runs(text):
+            for p in parts if level else []:
+                for x in p:
+                    tried = (first.get((conv, key), turn) for key in (passage(*parts), passage(p), ("line", x)))
+                    original = next((t for t in tried if t < turn), None)
+                    if original is not None:
+                        found[level, original] += 1
         best = min(found, key=lambda k: (k[0], -found[k], -k[1]), default=(0, None))[1]
         parent = out.get((conv, best))
         out[conv, turn] = (best, found.total(), parent[2] if parent else turn, parent[3] + 1 if parent else 0)
@@ -63,7 +87,7 @@ def conversations():
                 source = random.choice(texts)
                 quoted = [f"> {x}" for x in source.split("\n") if random.random() < 0.8]
             head = ["On Monday, Ann wrote:"] if quoted and random.random() < 0.5 else []
-            texts.append("\n".join([*head, *quoted, *own]))
+            texts.append("\n".join([*head, *quoted, random.choice(("\n", "\n\n")).join(own)]))
             rows.append((conv, turn, random.choice(["user", "assistant"]), texts[-1]))
     return rows
 
@@ -86,13 +110,16 @@ def test_against_brute_force(spark, conversations):
             seen.add(r.turn)
 
 
-def test_against_sql(spark, conversations):
+def assert_twin(spark, rows):
     con = duckdb.connect()
     con.sql("CREATE TABLE conversations(conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR)")
-    con.executemany("INSERT INTO conversations VALUES (?, ?, ?, ?)", conversations)
+    con.executemany("INSERT INTO conversations VALUES (?, ?, ?, ?)", rows)
     twin = con.sql(f"SELECT {', '.join(NAMES)} FROM ({ORACLE_SQL['op10_quotes']})").fetchall()
-    got = [tuple(r[n] for n in NAMES) for r in answered(spark, conversations)]
-    assert Counter(got) == Counter(twin)
+    assert Counter(tuple(r[n] for n in NAMES) for r in answered(spark, rows)) == Counter(twin)
+
+
+def test_against_sql(spark, conversations):
+    assert_twin(spark, conversations)
 
 
 def test_query_against_sql(spark):
@@ -171,40 +198,6 @@ def test_short_quotes(spark):
     assert [got[2, t] for t in range(2, 5)] == [(1, 1), (None, 0), (0, 1)]
 
 
-def whole_brute(rows) -> dict:
-    """As ``brute``, with whole passages before lines and lines of any length."""
-    out, first = {}, {}
-
-    def passages(text):
-        runs, last = [], None
-        for x in (text or "").split("\n"):
-            level = (re.match(r"^[ \t]*((?:>[ \t]?)+)", x) or [""])[0].count(">")
-            if level != last:
-                runs.append((level, []))
-            runs[-1][1].extend([plain(x)] if plain(x) else [])
-            last = level
-        return [(level, lines) for level, lines in runs if lines]
-
-    squeeze = lambda lines: ("whole", "".join(lines).replace(" ", ""))
-    ordered = sorted(rows, key=lambda r: r[1])
-    for conv, turn, _, text in ordered:
-        for level, lines in passages(text):
-            for key in [] if level else [squeeze(lines), *lines]:
-                first.setdefault((conv, key), turn)
-    for conv, turn, _, text in ordered:
-        found = Counter()
-        for level, lines in passages(text):
-            source = first.get((conv, squeeze(lines)), turn)
-            for x in lines if level else []:
-                original = source if source < turn else first.get((conv, x), turn)
-                if original < turn:
-                    found[level, original] += 1
-        best = min(found, key=lambda k: (k[0], -found[k], -k[1]), default=(0, None))[1]
-        parent = out.get((conv, best))
-        out[conv, turn] = (best, found.total(), parent[2] if parent else turn, parent[3] + 1 if parent else 0)
-    return out
-
-
 def test_short_lines_and_breaks_against_brute_force(spark, conversations):
     """The same threads, and such whose quotes break at other places or repeat one-word answers."""
     random.seed(6)
@@ -220,14 +213,28 @@ def test_short_lines_and_breaks_against_brute_force(spark, conversations):
             texts.append("\n".join(own))
             rows.append((conv, turn, "user", "\n".join([*quoted, *own])))
     got = {(r.conv_id, r.turn): (r.reply_to, r.linked_lines, r.thread, r.depth) for r in answered(spark, rows)}
-    assert got == whole_brute(rows)
+    assert got == brute(rows)
+    assert_twin(spark, rows)
 
 
-def test_against_sql_without_short_lines(spark, conversations):
-    """Where no line is short and quotes keep their lines, the line rule of the twin finds the same."""
-    rows = [(*r[:3], r[3].replace("word", "vocabulary")) for r in conversations]
-    con = duckdb.connect()
-    con.sql("CREATE TABLE conversations(conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR)")
-    con.executemany("INSERT INTO conversations VALUES (?, ?, ?, ?)", rows)
-    twin = con.sql(f"SELECT {', '.join(NAMES)} FROM ({ORACLE_SQL['op10_quotes']})").fetchall()
-    assert Counter(tuple(r[n] for n in NAMES) for r in answered(spark, rows)) == Counter(twin)
+def test_paragraphs_are_found_however_they_break(spark):
+    one = "one long sentence that a mail client breaks where it wants to"
+    two = "and a second paragraph with another sentence, broken elsewhere"
+    three = "the third one is left out of most replies that quote the message"
+    wrapped = lambda text, size: "\n".join(
+        "> " + " ".join(text.split()[i : i + size]) for i in range(0, len(text.split()), size)
+    )
+    rows = [
+        (1, 0, "a", f"{one}\n\n{two}\n\n{three}"),
+        (1, 1, "b", f"{wrapped(two, 4)}\nsecond only"),
+        (1, 2, "b", f"{wrapped(one, 5)}\n\n{wrapped(two, 3)}\nwith a blank line between them"),
+        (1, 3, "b", f"{wrapped(one, 5)}\n>\n{wrapped(two, 3)}\nwith a quoted blank line"),
+        (1, 4, "b", f"{wrapped(two + ' ' + three, 6)}\ntwo paragraphs run together"),
+        (1, 5, "b", f"{wrapped(one, 5)}\n>\n> never written\npartly known"),
+        (2, 6, "b", f"{wrapped(two, 4)}\nanother conversation"),
+    ]
+    got = {r.turn: r for r in answered(spark, rows)}
+    assert [got[t].reply_to for t in range(7)] == [None, 0, 0, 0, 0, 0, None]
+    assert [got[t].linked_lines for t in range(1, 6)] == [3, 6, 6, 4, 3]
+    assert {(r.conv_id, r.turn): (r.reply_to, r.linked_lines, r.thread, r.depth) for r in got.values()} == brute(rows)
+    assert_twin(spark, rows)
