@@ -13,9 +13,9 @@ are the next ones that end there or later. Rows that both sides have end a group
 
 Links are counted per pair of ids and document, then per pair over many documents, both by
 ``Table.group_by``; Spark adds up the partial counts. The aligned documents are written once,
-so texts are encoded once. The counts are written, too: Spark knows their size, broadcasts
-them below ``spark.sql.autoBroadcastJoinThreshold``, and otherwise splits the skewed pairs of
-a shuffled join.
+so texts are encoded once. Counts and documents meet in a merge join at every size, for the
+number of different pairs has no useful bound; documents come with one row per different pair,
+and Spark splits the partitions of pairs that most documents hold.
 
 Defined results: a text that is NULL or empty, or that either tokenizer does not give back
 byte for byte (one with the character U+2581, which B takes for a blank), has no tokens; so
@@ -44,9 +44,9 @@ from ledgerline.llm.tokens import encoder, tokenizer_path
 from ledgerline.sources.workspace import Workspace
 
 # Text aligned at once; a longer text is alone.
-ALIGNED_BYTES = 1 << 20
+ALIGNED_BYTES = 1 << 19
 # Different pairs that a task adds up before it hands them on.
-HELD_PAIRS = 500_000
+HELD_PAIRS = 200_000
 
 _ROW_BITS = 40
 _END_BITS = 32
@@ -376,7 +376,7 @@ class Alignment:
         best pair of their id of B, the summed counts of all links, the digest of the groups."""
         rows = self._written().where(F.col("row_id").isNotNull())
         links = rows.select("row_id", F.inline(F.arrays_zip("pairs", "links")))
-        counted = links.join(self.pair_counts(), F.col("pairs") == F.col("pair"))
+        counted = links.join(self.pair_counts().hint("merge"), F.col("pairs") == F.col("pair"))
         sums = counted.groupBy("row_id").agg(
             F.sum(F.when(F.col("best"), F.col("links")).otherwise(0)).alias("n_best"),
             F.sum(F.col("links") * F.col("pair_links")).alias("count_sum"),
