@@ -9,6 +9,7 @@ from ledgerline.functions.money import percent, ratio
 from ledgerline.operators.checks import share_of_total
 from ledgerline.operators.numbering import add_ntiles
 from ledgerline.plans.audit import CREDIT_METHODS, INTERNAL_METHODS
+from ledgerline.plans.store import KEY, OrderStore
 from ledgerline.sources.workspace import Workspace
 
 NO_CATEGORY = "Uncategorized"
@@ -128,14 +129,13 @@ def cohort_retention(orders: DataFrame) -> DataFrame:
     )
 
 
-def category_revenue(order_items: DataFrame, orders: DataFrame, products: DataFrame) -> DataFrame:
+def category_revenue(store: OrderStore, products: DataFrame) -> DataFrame:
     """Item-level sales per category, without orders whose total is no money.
 
     Orders without money are the few, so they are taken out by an anti join;
     items are then summed per SKU before products are joined.
     """
-    no_money = orders.where(~is_money()).select("increment_id")
-    sold = order_items.join(no_money, "increment_id", "left_anti")
+    sold = store.join(lambda orders: orders.where(~is_money()).select(KEY), "left_anti")
     per_sku = sold.groupBy("sku").agg(
         F.count("*").alias("items"),
         F.sum("qty_ordered").alias("units"),

@@ -29,7 +29,11 @@ from ledgerline.operators.checks import (
     valid_rows,
     wholly_matching_groups,
 )
-from ledgerline.operators.constraints import fk_violations, pk_violations
+from ledgerline.operators.constraints import (
+    fk_violations,
+    pk_violations,
+    require_no_violations,
+)
 from ledgerline.plans import audit
 
 # The longest text each model column may hold.
@@ -63,6 +67,7 @@ def build_order_flags(staging: DataFrame) -> DataFrame:
         .agg(
             F.coalesce(F.bool_or(is_regular_sku("sku")), F.lit(False)).alias("has_regular_sku"),
             F.coalesce(F.bool_or(audit.is_internal()), F.lit(False)).alias("has_internal_payment"),
+            F.count("*").alias("rows"),
         )
     )
 
@@ -199,6 +204,13 @@ def foreign_key_report(tables: dict[str, DataFrame]) -> DataFrame:
     return _stacked([foreign_key_check(tables, *link) for link in FOREIGN_KEYS])
 
 
+def require_keys(zones: dict[str, dict[str, DataFrame]]) -> None:
+    """Raises if a primary or foreign key of the model tables is violated."""
+    tables = {name: zones["oltp"][name] for name in PRIMARY_KEYS}
+    require_no_violations(primary_key_report(tables), "null_keys", "repeated_keys")
+    require_no_violations(foreign_key_report(tables), "orphan_keys")
+
+
 def foreign_key_check(tables: dict[str, DataFrame], child: str, key: str, parent: str) -> DataFrame:
     return fk_violations(tables[child], child, key, tables[parent], parent, PRIMARY_KEYS[parent])
 

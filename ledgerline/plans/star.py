@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.plans.analytics import NO_CATEGORY, NO_STATUS, is_money
+from ledgerline.plans.store import OrderStore
 
 # Members for facts without a customer or a product.
 GUEST_KEY = -1
@@ -58,14 +59,14 @@ def dim_product(products: DataFrame) -> DataFrame:
     return known.unionByName(none)
 
 
-def fact_sales(order_items: DataFrame, orders: DataFrame) -> DataFrame:
+def fact_sales(store: OrderStore) -> DataFrame:
     """One row per order item, with the attributes of its order."""
     money = F.coalesce(is_money(), F.lit(False))
-    header = orders.select(
+    header = (
         "increment_id", "customer_id", "order_date", "payment_method", "status",
         money.alias("is_money"),
     )
-    return order_items.join(header, "increment_id").select(
+    return store.join(lambda orders: orders.select(*header)).select(
         "item_id",
         "increment_id",
         date_key(F.col("order_date")).alias("date_key"),

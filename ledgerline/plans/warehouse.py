@@ -7,10 +7,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerline.operators import constraints
-from ledgerline.operators.layout import Clustered
-from ledgerline.plans import analytics, audit, lookup, model, star
-from ledgerline.sources.export import read_csv, require_well_formed, write_csv
+from ledgerline.operators.layout import Layout
+from ledgerline.plans import analytics, audit, lookup, model, publish, star
+from ledgerline.plans.store import HOT_ROWS, OrderStore, bucket_count, hot_orders, save_store
+from ledgerline.sources.catalog import Catalog, new_database
+from ledgerline.sources.export import write_csv
+from ledgerline.sources.landing import Landing, land_csv
 from ledgerline.sources.retail import RETAIL_TABLES, staging_from_retail
 from ledgerline.sources.workspace import Workspace, fingerprint
 
@@ -26,25 +28,34 @@ class Warehouse:
         spark: SparkSession,
         land: Callable[[Workspace], DataFrame],
         label: str = "warehouse",
+        hot_rows: int = HOT_ROWS,
     ):
         self.spark = spark
         self.workspace = Workspace(spark, label)
+        self.catalog = Catalog(spark, new_database(label), self.workspace.path("catalog"))
+        self.hot_rows = hot_rows
+        self.landing: Landing | None = None
         self._land = land
-        self._lookup: dict[str, Clustered] = {}
-        self._lookup_lock = threading.Lock()
+        self._store: OrderStore | None = None
+        self._lookup: dict[str, Layout] = {}
+        self._lock = threading.RLock()
 
     @classmethod
     def from_csv(
         cls, spark: SparkSession, path: str, multi_line: bool = False, allow_malformed: bool = False
     ) -> Warehouse:
-        """A warehouse over the raw CSV export; damaged rows stop the landing unless allowed."""
+        """A warehouse over the raw CSV export; damaged rows stop the landing unless allowed.
 
-        def land(_: Workspace) -> DataFrame:
-            if not allow_malformed:
-                require_well_formed(spark, path, multi_line)
-            return read_csv(spark, path, multi_line)
+        Allowed or not, they are in ``landing.quarantine`` and not in staging.
+        """
+
+        def land(workspace: Workspace) -> DataFrame:
+            warehouse.landing = land_csv(spark, path, workspace, multi_line, allow_malformed)
+            # Written already: staging is a part of the landed table.
+            return warehouse.landing.staging
 
-        return cls(spark, land, "csv")
+        warehouse = cls(spark, land, "csv")
+        return warehouse
 
     @classmethod
     def from_staging(cls, spark: SparkSession, staging: DataFrame) -> Warehouse:
@@ -59,7 +70,20 @@ class Warehouse:
         return cls(spark, lambda workspace: staging_from_retail(spark, folder, workspace), "retail")
 
     def staging(self) -> DataFrame:
-        return self.workspace.table("staging", lambda: self._land(self.workspace))
+        with self._lock:
+            if not self.workspace.has("staging"):
+                landed = self._land(self.workspace)
+                if self.landing is not None:
+                    self.workspace.keep("staging", landed)
+                return self.workspace.table("staging", lambda: landed)
+            return self.workspace.table("staging", self.staging)
+
+    def quarantine(self) -> DataFrame:
+        """The damaged lines of a CSV export: ``damage``, ``line``, ``file``."""
+        self.staging()
+        if self.landing is None:
+            raise ValueError("only a CSV export has damaged lines")
+        return self.landing.quarantine
 
     def exported_csv(self) -> str:
         """Path of the staging rows as CSV, written the first time it is asked for."""
@@ -116,11 +140,24 @@ class Warehouse:
     def products(self) -> DataFrame:
         return self.workspace.table("products", lambda: self.build("products"))
 
+    def store(self) -> OrderStore:
+        """Orders and items in buckets of the order number, the items of hot orders apart."""
+        with self._lock:
+            if self._store is None:
+                hot = self.workspace.table(
+                    "hot_orders", lambda: hot_orders(self.order_flags(), self.hot_rows)
+                )
+                self._store = save_store(
+                    self.catalog, self.build("orders"), self.build("order_items"), hot,
+                    bucket_count(self.staging()),
+                )
+            return self._store
+
     def orders(self) -> DataFrame:
-        return self.workspace.table("orders", lambda: self.build("orders"))
+        return self.store().orders
 
     def order_items(self) -> DataFrame:
-        return self.workspace.table("order_items", lambda: self.build("order_items"))
+        return self.store().items
 
     def model(self) -> dict[str, DataFrame]:
         return {
@@ -133,21 +170,25 @@ class Warehouse:
     def load_model(self) -> dict[str, DataFrame]:
         """Builds the model and stops with an error if a key constraint is violated."""
         tables = self.model()
-        constraints.require_no_violations(
-            model.primary_key_report(tables), "null_keys", "repeated_keys"
-        )
-        constraints.require_no_violations(model.foreign_key_report(tables), "orphan_keys")
+        model.require_keys({"oltp": tables})
         return tables
 
-    def lookup_table(self, name: str) -> Clustered:
-        """One of the sorted copies that serve lookups."""
-        with self._lookup_lock:
+    def lookup_table(self, name: str) -> Layout:
+        """One of the tables that serve lookups."""
+        with self._lock:
             if name not in self._lookup:
-                self._lookup[name] = lookup.lookup_table(
-                    name, self.orders(), self.order_items(), self.workspace
-                )
+                self._lookup[name] = lookup.lookup_table(name, self.store(), self.catalog)
             return self._lookup[name]
 
+    def access_paths(self) -> dict[str, DataFrame]:
+        """The rows of every table that serves lookups; items are stored by order number."""
+        tables = {name: self.lookup_table(name).rows for name in lookup.LAYOUTS}
+        return tables | {"items_by_order": self.order_items()}
+
+    def calendar(self) -> DataFrame:
+        """The date dimension, written, so that Spark knows how small it is."""
+        return self.workspace.table("dim_date", lambda: star.dim_date(self.orders()))
+
     def rfm_segments(self) -> DataFrame:
         return self.workspace.table(
             "rfm_segments", lambda: analytics.rfm_segments(self.orders(), self.workspace)
@@ -166,7 +207,7 @@ class Warehouse:
             "dim_date": star.dim_date(self.orders()),
             "dim_customer": star.dim_customer(self.customers()),
             "dim_product": star.dim_product(self.products()),
-            "fact_sales": star.fact_sales(self.order_items(), self.orders()),
+            "fact_sales": star.fact_sales(self.store()),
         }
 
     def zones(self) -> dict[str, dict[str, DataFrame]]:
@@ -175,8 +216,11 @@ class Warehouse:
 
     def close(self) -> None:
         """Deletes all tables that were written for this warehouse."""
-        self.workspace.close()
-        self._lookup.clear()
+        with self._lock:
+            self.catalog.drop()
+            self.workspace.close()
+            self._lookup.clear()
+            self._store = self.landing = None
 
     def __enter__(self) -> Warehouse:
         return self
@@ -184,17 +228,14 @@ class Warehouse:
     def __exit__(self, *_: object) -> None:
         self.close()
 
-    def publish(self, root: str) -> None:
-        """Saves all zones as tables of three databases below ``root``.
+    def publish(self, root: str, name: str) -> int:
+        """Publishes all zones below ``root`` as databases ``<name>_<zone>``; returns the version.
 
-        Nothing is saved if a key constraint of the model is violated.
+        Nothing is written if a key constraint of the model is violated, and readers keep the
+        version they have until all tables of the new one are written and checked.
         """
         self.load_model()
-        for zone, tables in self.zones().items():
-            location = f"{root.rstrip('/')}/{zone}"
-            self.spark.sql(f"CREATE DATABASE IF NOT EXISTS {zone} LOCATION '{location}'")
-            for name, table in tables.items():
-                table.write.mode("overwrite").saveAsTable(f"{zone}.{name}")
+        return publish.publish(self.spark, self.zones(), root, name, checks=model.require_keys)
 
 
 _open: dict[tuple[str, str], tuple[tuple, Warehouse]] = {}
@@ -210,6 +251,8 @@ def open_retail(spark: SparkSession, folder: str) -> Warehouse:
     state = tuple(fingerprint(spark, f"{folder}/{name}.parquet") for name in RETAIL_TABLES)
     with _open_lock:
         if key not in _open or _open[key][0] != state:
+            if key in _open:
+                _open[key][1].close()
             _open[key] = (state, Warehouse.from_retail(spark, folder))
         return _open[key][1]
 

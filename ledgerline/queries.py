@@ -14,8 +14,11 @@ from ledgerline.plans import analytics, audit, lookup, model, reconcile, star
 from ledgerline.plans.warehouse import Warehouse, open_retail
 from ledgerline.sources.export import RAW_COLUMNS, malformed_rows, read_csv
 
-# The customer of the lookup queries.
+# What the lookup queries look up.
 LOOKUP_CUSTOMER = 74
+LOOKUP_ORDER = "100000007"
+LOOKUP_SKU = "old_widget-144"
+LOOKUP_YEAR = 1998
 
 Query = Callable[[Warehouse], DataFrame]
 
@@ -237,22 +240,39 @@ MODEL: dict[str, Query] = {
 
 
 def customer_order_lookup(w: Warehouse, customer: int = LOOKUP_CUSTOMER) -> DataFrame:
-    return _doubles(lookup.customer_order_lookup(w.orders(), w.order_items(), customer))
+    return _doubles(lookup.customer_order_lookup(w.store(), customer))
 
 
 def customer_order_lookup_indexed(w: Warehouse, customer: int = LOOKUP_CUSTOMER) -> DataFrame:
-    found = lookup.customer_order_lookup_clustered(w.lookup_table("items_by_customer"), customer)
+    found = lookup.customer_order_lookup_laid_out(w.lookup_table("items_by_customer"), customer)
     return _doubles(found)
 
 
+def order_lookup(w: Warehouse, increment_id: str = LOOKUP_ORDER) -> DataFrame:
+    return _doubles(lookup.order_lookup(w.store(), increment_id))
+
+
+def sku_lookup(w: Warehouse, sku: str = LOOKUP_SKU) -> DataFrame:
+    return _doubles(lookup.sku_lookup(w.lookup_table("items_by_sku"), sku))
+
+
+def orders_on_weekends(w: Warehouse, year: int = LOOKUP_YEAR) -> DataFrame:
+    """Orders of the weekends of one year's last quarter; the calendar prunes the months."""
+    which = (F.col("year") == year) & (F.col("quarter") == 4) & F.col("is_weekend")
+    return _doubles(lookup.orders_on_days(w.lookup_table("orders_by_date"), w.calendar(), which))
+
+
 def clustered_layout(w: Warehouse) -> DataFrame:
-    return lookup.layout_counts({name: w.lookup_table(name) for name in lookup.LAYOUTS})
+    return lookup.layout_counts(w.access_paths())
 
 
 LOOKUP: dict[str, Query] = {
     "customer_order_lookup": customer_order_lookup,
     "customer_order_lookup_indexed": customer_order_lookup_indexed,
     "clustered_layout": clustered_layout,
+    "order_lookup": order_lookup,
+    "sku_lookup": sku_lookup,
+    "orders_on_weekends": orders_on_weekends,
 }
 
 # --- analysis --------------------------------------------------------------
@@ -262,17 +282,15 @@ ANALYSIS: dict[str, Query] = {
     "v_rfm_segments": lambda w: _doubles(w.rfm_segments()),
     "rfm_summary": lambda w: _doubles(analytics.rfm_summary(w.rfm_segments())),
     "v_cohort_retention": lambda w: analytics.cohort_retention(w.orders()),
-    "category_revenue": lambda w: analytics.category_revenue(
-        w.order_items(), w.orders(), w.products()
-    ),
+    "category_revenue": lambda w: analytics.category_revenue(w.store(), w.products()),
     "status_breakdown": lambda w: analytics.status_breakdown(w.orders()),
     "payment_mix": lambda w: analytics.payment_mix(w.orders()),
     "star_dim_date": lambda w: star.dim_date(w.orders()),
     "star_dim_customer": lambda w: star.dim_customer(w.customers()),
     "star_dim_product": lambda w: star.dim_product(w.products()),
-    "star_fact_sales": lambda w: _doubles(star.fact_sales(w.order_items(), w.orders())),
+    "star_fact_sales": lambda w: _doubles(star.fact_sales(w.store())),
     "star_totals": lambda w: star.star_totals(
-        star.fact_sales(w.order_items(), w.orders()), w.order_items()
+        star.fact_sales(w.store()), w.order_items()
     ),
 }
 

@@ -38,18 +38,18 @@ RAW_SCHEMA = T.StructType([T.StructField(name, T.StringType()) for name in RAW_C
 STAGING_SCHEMA = T.StructType([T.StructField(name, T.StringType()) for name in STAGING_COLUMNS])
 
 
-_DAMAGE = "damaged_row"
+DAMAGE = "damaged_row"
 
 
-def _read(spark: SparkSession, path: str, multi_line: bool) -> DataFrame:
+def read_fields(spark: SparkSession, path: str, multi_line: bool) -> DataFrame:
     """Rows by position, with the text of rows of another number of fields in ``damaged_row``."""
-    schema = T.StructType(list(RAW_SCHEMA.fields)).add(_DAMAGE, T.StringType())
+    schema = T.StructType(list(RAW_SCHEMA.fields)).add(DAMAGE, T.StringType())
     return (
         spark.read.schema(schema)
         .option("header", True)
         .option("enforceSchema", True)
         .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", _DAMAGE)
+        .option("columnNameOfCorruptRecord", DAMAGE)
         .option("escape", '"')
         # Fields are counted only if all of them are parsed.
         .option("columnPruning", False)
@@ -66,9 +66,10 @@ def read_csv(spark: SparkSession, path: str, multi_line: bool = False) -> DataFr
     Blanks, which the reader returns as NULL, become empty text again, because
     the audit tells a blank from other missing-value tokens. Rows with too few or
     too many fields are filled up or cut; ``malformed_rows`` finds them. ``multi_line``
-    allows line breaks inside quoted fields but keeps each file in one task.
+    allows line breaks inside quoted fields but keeps each file in one task. Landing keeps the
+    damaged rows instead (``sources/landing.py``).
     """
-    return _read(spark, path, multi_line).drop(_DAMAGE).toDF(*STAGING_COLUMNS).na.fill("")
+    return read_fields(spark, path, multi_line).drop(DAMAGE).toDF(*STAGING_COLUMNS).na.fill("")
 
 
 def malformed_rows(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
@@ -78,8 +79,8 @@ def malformed_rows(spark: SparkSession, path: str, multi_line: bool = False) ->
     ``multi_line`` reads them as one.
     """
     # Spark reads the text of damaged rows beside another column only.
-    beside = F.concat(F.col(_DAMAGE), F.coalesce(F.col(RAW_SCHEMA.names[0]), F.lit("")))
-    fields = _read(spark, path, multi_line).agg(
+    beside = F.concat(F.col(DAMAGE), F.coalesce(F.col(RAW_SCHEMA.names[0]), F.lit("")))
+    fields = read_fields(spark, path, multi_line).agg(
         F.count("*").alias("total_rows"),
         F.count_if(F.length(beside) >= 0).alias("wrong_field_count"),
     )
@@ -96,13 +97,6 @@ class MalformedExportError(ValueError):
     """An export has rows that do not fit its header."""
 
 
-def require_well_formed(spark: SparkSession, path: str, multi_line: bool = False) -> None:
-    """Raises if rows of the export are damaged."""
-    found = malformed_rows(spark, path, multi_line).first()
-    if found.wrong_field_count or found.open_quotes:
-        raise MalformedExportError(f"{path}: {found.asDict()}")
-
-
 def write_csv(staging: DataFrame, path: str) -> None:
     """Staging rows as CSV in the layout of the export."""
     (

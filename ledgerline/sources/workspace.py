@@ -37,10 +37,10 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def _scheme(spark: SparkSession, folder: str) -> str:
-    return urlsplit(folder).scheme or _file_system(spark, folder).getScheme()
+    return urlsplit(folder).scheme or file_system(spark, folder).getScheme()
 
 
-def _file_system(spark: SparkSession, path: str):
+def file_system(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm
     found = jvm.org.apache.hadoop.fs.Path(path)
     return found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -48,7 +48,7 @@ def _file_system(spark: SparkSession, path: str):
 
 def fingerprint(spark: SparkSession, path: str) -> tuple[int, int, int]:
     """(bytes, files, time of the last change) of a file or folder."""
-    files = _file_system(spark, path)
+    files = file_system(spark, path)
     found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     summary = files.getContentSummary(found)
     return (
@@ -87,7 +87,7 @@ class Workspace:
             self._tables.clear()
             self._folders.clear()
             target = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.root)
-            _file_system(self.spark, self.root).delete(target, True)
+            file_system(self.spark, self.root).delete(target, True)
 
     def __enter__(self) -> Workspace:
         return self
@@ -114,6 +114,10 @@ class Workspace:
                 self._tables[name] = reader.parquet(self.path(name))
             return self._tables[name]
 
+    def has(self, name: str) -> bool:
+        with self._lock:
+            return name in self._tables
+
     def keep(self, name: str, table: DataFrame) -> None:
         """Takes a table that is stored elsewhere under ``name``, without a copy."""
         with self._lock:

@@ -649,6 +649,19 @@ _LOOKUP = """SELECT increment_id, order_date, sku, CAST(price AS DOUBLE) AS pric
 FROM orders_t JOIN items_t USING (increment_id) WHERE customer_id = 74"""
 _add("customer_order_lookup", _LOOKUP, "items_t")
 _add("customer_order_lookup_indexed", _LOOKUP, "items_t")
+_ITEM = """SELECT item_id, increment_id, sku, CAST(price AS DOUBLE) AS price, qty_ordered,
+       CAST(discount_amount AS DOUBLE) AS discount_amount, CAST(gross_value AS DOUBLE) AS gross_value
+FROM items_t"""
+_add("order_lookup", f"{_ITEM} WHERE increment_id = '100000007'", "items_t")
+_add("sku_lookup", f"{_ITEM} WHERE sku = 'old_widget-144'", "items_t")
+_add(
+    "orders_on_weekends",
+    """SELECT increment_id, order_date, customer_id, payment_method, CAST(grand_total AS DOUBLE) AS grand_total,
+       CAST(isodow(order_date) AS INTEGER) AS iso_weekday, true AS is_weekend
+FROM orders_t
+WHERE year(order_date) = 1998 AND quarter(order_date) = 4 AND isodow(order_date) >= 6""",
+    "orders_t",
+)
 _add(
     "clustered_layout",
     _union(

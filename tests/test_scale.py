@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import random
+from datetime import date
+from pathlib import Path
 
 import pytest
 from pyspark.sql import Window
@@ -12,11 +14,12 @@ from __spark_entry__ import queries
 from ledgerline.functions.text import is_regular_sku
 from ledgerline.operators import checks
 from ledgerline.operators.constraints import ConstraintError
-from ledgerline.operators.layout import bucket_of, clustered, save_bucketed
+from ledgerline.operators.layout import Layout, laid_out, part_of
 from ledgerline.operators.numbering import add_ntiles, global_row_number
-from ledgerline.plans import analytics, audit, lookup, model
+from ledgerline.plans import analytics, audit, lookup, model, star
 from ledgerline.plans.warehouse import Warehouse
 from ledgerline.queries import QUERIES
+from ledgerline.sources.catalog import Catalog, new_database
 from ledgerline.sources.retail import staging_from_retail
 from ledgerline.sources.workspace import Workspace, shared_folder
 from tests.conftest import FOLDER
@@ -223,51 +226,130 @@ def test_builds_do_not_depend_on_the_join_strategy(spark, skewed):
 # --- lookups ---------------------------------------------------------------
 
 
-def test_lookup_reads_one_bucket(spark, warehouse, workspace):
+def metric(spark, name: str) -> int:
+    metrics = spark._jvm.org.apache.spark.metrics.source.HiveCatalogMetrics
+    return getattr(metrics, name)().getCount()
+
+
+@pytest.fixture
+def catalog(spark, tmp_path):
+    made = Catalog(spark, new_database("test"), str(tmp_path / "catalog"))
+    yield made
+    made.drop()
+
+
+def test_lookup_reads_one_partition(spark, warehouse, catalog):
     orders = warehouse.orders()
-    table = clustered(
-        orders, workspace, "by_customer", ["customer_id", "increment_id"], buckets=15
-    )
-    assert table.buckets == 15
-    assert table.table.drop("bucket").count() == orders.count()
+    table = laid_out(orders, catalog, "by_customer", ["customer_id", "increment_id"], parts=15)
+    assert table.rows.count() == orders.count()
     for customer in (74, 36, -5):
         expected = rows_of(orders.where(F.col("customer_id") == customer).select(*sorted(orders.columns)))
         assert rows_of(table.of(customer).select(*sorted(orders.columns))) == expected
-    bucket = spark.range(1).select(bucket_of(F.lit(74).cast("bigint"), 15)).first()[0]
+    part = spark.range(1).select(part_of(F.lit(74).cast("bigint"), 15)).first()[0]
     plan = plan_of(table.of(74))
-    assert f"= {bucket})" in plan.split("PartitionFilters")[1].split("PushedFilters")[0]
+    assert f"= {part})" in plan.split("PartitionFilters")[1].split("PushedFilters")[0]
     assert "EqualTo(customer_id,74)" in plan
 
 
-def test_every_access_path_finds_its_rows(warehouse):
+def test_lookup_lists_one_partition_of_many_files(spark, catalog):
+    """The catalog prunes: of 10,000 files only those of one directory are listed."""
+    rows = spark.range(10_000, numPartitions=4).selectExpr("id AS key", "id * 2 AS twice")
+    table = laid_out(rows, catalog, "many", ["key"], parts=100, rows_per_file=1)
+    files = len(list(Path(catalog.path("many")).glob("part=*/*.parquet")))
+    assert files == 10_000
+    spark.sql(f"REFRESH TABLE `{catalog.name}`.many")
+    before = metric(spark, "METRIC_FILES_DISCOVERED"), metric(spark, "METRIC_PARTITIONS_FETCHED")
+    fresh = Layout(catalog.table("many"), "key", table.partition, table.parts)
+    assert [tuple(r) for r in fresh.of(77).collect()] == [(77, 154)]
+    listed = metric(spark, "METRIC_FILES_DISCOVERED") - before[0]
+    assert 0 < listed < 300
+    assert metric(spark, "METRIC_PARTITIONS_FETCHED") - before[1] <= 2
+
+
+def test_every_access_path_finds_its_rows(spark, warehouse):
     items, orders = warehouse.order_items(), warehouse.orders()
     order = orders.orderBy("increment_id").first()
-    by_order = warehouse.lookup_table("items_by_order").of(order.increment_id)
+    by_order = lookup.order_lookup(warehouse.store(), order.increment_id)
     assert by_order.count() == items.where(F.col("increment_id") == order.increment_id).count() > 0
+    spark.conf.set("spark.sql.sources.bucketing.autoBucketedScan.enabled", "false")
+    try:
+        again = lookup.order_lookup(warehouse.store(), order.increment_id)
+        assert "SelectedBucketsCount: 1 out of" in plan_of(again.select("*", F.lit(1)))
+    finally:
+        spark.conf.unset("spark.sql.sources.bucketing.autoBucketedScan.enabled")
     by_date = warehouse.lookup_table("orders_by_date").of(order.order_date)
     assert by_date.count() == orders.where(F.col("order_date") == order.order_date).count() > 0
+    month = order.order_date.replace(day=1)
+    assert str((month - date(1970, 1, 1)).days) in plan_of(by_date).split("PartitionFilters")[1] or str(month) in plan_of(by_date)
     sku = items.where("sku is not null").orderBy("sku").first().sku
     by_sku = warehouse.lookup_table("items_by_sku").of(sku)
     assert by_sku.count() == items.where(F.col("sku") == sku).count() > 0
 
 
+def test_calendar_prunes_months_at_run_time(spark, warehouse):
+    layout, calendar = warehouse.lookup_table("orders_by_date"), warehouse.calendar()
+    which = (F.col("year") == 1998) & (F.col("quarter") == 4)
+    found = lookup.orders_on_days(layout, calendar, which)
+    expected = warehouse.orders().where("order_date BETWEEN '1998-10-01' AND '1998-12-31'")
+    columns = ["increment_id", "order_date", "customer_id", "payment_method", "grand_total"]
+    assert rows_of(found.select(*columns)) == rows_of(expected.select(*columns)) != []
+    assert "dynamicpruning" in plan_of(found).split("PartitionFilters")[1].split("PushedFilters")[0]
+
+
 def test_lookup_is_equal_on_both_tables(warehouse):
     for customer in (74, 36, 120):
-        plain = lookup.customer_order_lookup(warehouse.orders(), warehouse.order_items(), customer)
-        fast = lookup.customer_order_lookup_clustered(
+        plain = lookup.customer_order_lookup(warehouse.store(), customer)
+        fast = lookup.customer_order_lookup_laid_out(
             warehouse.lookup_table("items_by_customer"), customer
         )
         assert rows_of(plain) == rows_of(fast)
 
 
-def test_bucketed_tables_join_without_shuffle(spark, warehouse, tmp_path):
-    for name, table in (("b_orders", warehouse.orders()), ("b_items", warehouse.order_items())):
-        save_bucketed(table, name, str(tmp_path / name), "increment_id", 4)
+@pytest.fixture
+def no_broadcast(spark):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_items_meet_their_orders_without_a_shuffle(warehouse, no_broadcast):
+    store = warehouse.store()
+    assert "Exchange" not in plan_of(star.fact_sales(store))
+    assert "Exchange" not in plan_of(lookup.customer_order_lookup(store, 74))
+    below = plan_of(analytics.category_revenue(store, warehouse.products()))
+    join = below[below.index("LeftAnti"):]
+    assert "Exchange" not in join.split("PushedFilters")[0] and "hashpartitioning(increment_id" not in below
+    assert star.fact_sales(store).count() == warehouse.order_items().count()
+
+
+@pytest.mark.parametrize("threshold", ["-1", "10485760"])
+def test_items_of_hot_orders_are_stored_apart(spark, skewed, threshold):
+    """An order of most of the rows is in no bucket, and every join finds all of its items."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    # No order of internal bookings only, which the model leaves out.
+    skewed = skewed.withColumn(
+        "payment_method", F.when(F.col("increment_id") == "1", "cod").otherwise(F.col("payment_method"))
+    )
     try:
-        joined = spark.table("b_orders").join(spark.table("b_items"), "increment_id")
-        assert "Exchange" not in plan_of(joined)
-        assert joined.count() == warehouse.order_items().count()
+        usual = Warehouse(spark, lambda _: skewed, "usual")
+        split = Warehouse(spark, lambda _: skewed, "split", hot_rows=500)
+        store = split.store()
+        sizes = usual.order_items().groupBy("increment_id").count().where("count > 500")
+        assert usual.store().hot_items is None and sizes.count() > 0
+        assert store.hot_items.count() == sizes.agg(F.sum("count")).first()[0]
+        assert store.usual_items.count() + store.hot_items.count() == usual.order_items().count()
+        for result in (
+            lambda w: w.order_items(), lambda w: star.fact_sales(w.store()),
+            lambda w: analytics.category_revenue(w.store(), w.products()),
+            lambda w: w.lookup_table("items_by_customer").rows,
+        ):
+            assert rows_of(result(split)) == rows_of(result(usual))
+        hot = store.hot_orders.first()
+        assert rows_of(lookup.order_lookup(store, hot.increment_id)) == rows_of(
+            usual.order_items().where(F.col("increment_id") == hot.increment_id)
+        )
+        split.close()
+        usual.close()
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
@@ -293,7 +375,7 @@ def test_checks_read_only_their_columns(spark, warehouse):
 
 
 def test_lookup_pushes_the_customer_down(warehouse):
-    plan = plan_of(lookup.customer_order_lookup(warehouse.orders(), warehouse.order_items(), 74))
+    plan = plan_of(lookup.customer_order_lookup(warehouse.store(), 74))
     assert "EqualTo(customer_id,74)" in plan
 
 
@@ -318,19 +400,3 @@ def test_closing_leaves_nothing(spark, warehouse):
         root = other.workspace.root
         assert os.listdir(root.removeprefix("file:"))
     assert not os.path.exists(root.removeprefix("file:"))
-
-
-def test_publish_stops_at_a_broken_key(spark, warehouse_of, tmp_path):
-    broken = warehouse_of({"item_id": "1"}, {"item_id": "1", "sku": "other"})
-    with pytest.raises(ConstraintError):
-        broken.publish(str(tmp_path))
-    assert not list(tmp_path.iterdir())
-
-
-def test_publish_saves_all_zones(spark, warehouse, tmp_path):
-    warehouse.publish(str(tmp_path))
-    assert spark.table("oltp.orders").count() == 1443
-    assert spark.table("olap.fact_sales").count() == 5780
-    assert spark.table("olap.v_rfm_segments").count() == 148
-    assert spark.table("olap.v_monthly_kpi").count() == 80
-    assert model.row_counts({"e": spark.table("staging.export")}).first().row_count == 6500
