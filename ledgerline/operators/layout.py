@@ -31,6 +31,11 @@ def part_of(key: Column, parts: int) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(parts)).cast("int")
 
 
+def parts_for(table: DataFrame) -> int:
+    """Hashed partitions for the rows of a stored table, in proportion to its files."""
+    return max(LEAST_PARTS, -(-table_bytes(table) // PART_BYTES))
+
+
 @dataclass(frozen=True)
 class Layout:
     """A partitioned table of the catalog, sorted by ``key`` within its partitions.
@@ -75,8 +80,7 @@ def laid_out(
     """``df`` written for lookups by the first column of ``order``.
 
     ``by`` names a partition and says in SQL what it is of a key; otherwise partitions are
-    hashes, ``parts`` of them, else in proportion to ``df``. Files hold at most
-    ``rows_per_file`` rows; the width of the shuffle is the session's. ``bloom_filter`` names a
+    ``parts`` hashes (see ``parts_for``). Files hold at most ``rows_per_file`` rows; the width of the shuffle is the session's. ``bloom_filter`` names a
     further column that row groups can be skipped by.
     """
     options = dict(SMALL_ROW_GROUPS) | {"maxRecordsPerFile": str(rows_per_file)}
@@ -88,7 +92,7 @@ def laid_out(
         placed = df.withColumn(partition, F.expr(partition_of.format(key=f"`{key}`")))
     else:
         partition, partition_of = PART, None
-        parts = parts or max(LEAST_PARTS, -(-table_bytes(df) // PART_BYTES))
+        parts = parts or LEAST_PARTS
         placed = df.withColumn(partition, part_of(F.col(key), parts))
     ranged = placed.repartitionByRange(partition, *order).sortWithinPartitions(partition, *order)
     table = catalog.save(name, ranged, partition_by=(partition,), options=options)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.operators.layout import Layout, laid_out
+from ledgerline.operators.layout import Layout, laid_out, parts_for
 from ledgerline.plans.store import KEY, OrderStore
 from ledgerline.sources.catalog import Catalog
 
@@ -67,8 +67,11 @@ def lookup_table(name: str, store: OrderStore, catalog: Catalog) -> Layout:
         df = store.join(lambda orders: orders.select(*owner))
     else:
         df = store.orders if source == "orders" else store.items
-    by = (MONTH, "trunc({key}, 'MM')") if order[0] == "order_date" else None
-    return laid_out(df, catalog, name, order, by=by)
+    if order[0] == "order_date":
+        return laid_out(df, catalog, name, order, by=(MONTH, "trunc({key}, 'MM')"))
+    # By the stored table: the optimizer's guess for a join is the product of both sides.
+    parts = parts_for(store.orders if source == "orders" else store.items)
+    return laid_out(df, catalog, name, order, parts=parts)
 
 
 def layout_counts(tables: dict[str, DataFrame]) -> DataFrame:
