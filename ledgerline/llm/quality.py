@@ -189,15 +189,18 @@ def distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.sqrt(np.clip(divergence, 0, 1))
 
 
-def granted(bins: int, draws: np.ndarray) -> np.ndarray:
+def granted(bins: np.ndarray, draws: np.ndarray) -> np.ndarray:
     """Mean divergence, in bits, of ``draws`` draws from a histogram with ``bins`` bins to itself."""
     return (bins - 1) / (8 * np.log(2) * np.maximum(draws, 1))
 
 
-def _nearest(counts: np.ndarray, shares: list[np.ndarray]) -> np.ndarray:
+def _nearest(counts: list[np.ndarray], shares: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(distance to the nearest language, number of its bins) of each text."""
     total = counts[0].sum(axis=1)
     p = [c / np.maximum(total, 1)[:, None] for c in counts]
-    return np.min([distance(a, q) for a, q in zip(p, shares, strict=True)], axis=0)
+    apart = np.array([distance(a, q) for a, q in zip(p, shares, strict=True)])
+    bins = np.array([c.shape[1] for c in counts])
+    return apart.min(axis=0), bins[apart.argmin(axis=0)]
 
 
 def _word_bins(words, vocabulary: np.ndarray) -> np.ndarray:
@@ -271,8 +274,8 @@ def measure(column: pa.Array, refs: References) -> dict[str, np.ndarray]:
     if refs.languages:
         classes = _class_counts(data, bounds)
         characters = classes.sum(axis=1)
-        by_character = _nearest([classes] * len(refs.languages), list(refs.characters))
-        limit = CHARACTER_LIMIT**2 + granted(classes.shape[1], characters)
+        by_character, bins = _nearest([classes] * len(refs.languages), list(refs.characters))
+        limit = CHARACTER_LIMIT**2 + granted(bins, characters)
         strange |= (characters >= LEAST_CHARACTERS) & (by_character**2 > limit)
 
         found = _word_bins(words, refs.vocabulary)
@@ -281,8 +284,8 @@ def measure(column: pa.Array, refs: References) -> dict[str, np.ndarray]:
             own = found[:, places]
             counts.append(np.column_stack([own, n_words - own.sum(axis=1)]))
             shares.append(np.append(share, max(0.0, 1 - share.sum())))
-        by_word = _nearest(counts, shares)
-        limit = WORD_LIMIT**2 + granted(counts[0].shape[1], n_words)
+        by_word, bins = _nearest(counts, shares)
+        limit = WORD_LIMIT**2 + granted(bins, n_words)
         strange |= (n_words >= LEAST_COMPARED_WORDS) & (by_word**2 > limit)
         by_character = np.where(characters > 0, by_character, np.nan)
         by_word = np.where(n_words > 0, by_word, np.nan)

@@ -120,3 +120,13 @@ def test_strange_documents_go_and_short_ones_stay(documents):
     verdict = {r.doc_id: r.kept for r in quality.judge_documents(documents(rows)).collect()}
     assert all(verdict[i] for i in range(40)) and verdict[103] and verdict[104]
     assert not any(verdict[i] for i in (100, 101, 102))
+
+
+@pytest.mark.parametrize("language", ["aaa", "zzz"])
+def test_a_rare_language_changes_no_other_verdict(spark, small, language):
+    """Limits are those of the nearest language, wherever the others stand in the alphabet."""
+    before = {r.doc_id: r.kept for r in quality.judge_documents(small).collect()}
+    stray = spark.createDataFrame([(10**6, "zz yy xx", language)], "doc_id long, text string, lang string")
+    more = small.select("doc_id", "text", "lang").unionByName(stray)
+    after = {r.doc_id: r.kept for r in quality.judge_documents(more).collect()}
+    assert sum(after[d] != kept for d, kept in before.items()) <= 1
