@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerline.functions.money import percent, ratio
 from ledgerline.operators.checks import share_of_total
+from ledgerline.operators.distinct import id_sets, set_sizes
 from ledgerline.operators.numbering import add_ntiles
 from ledgerline.plans.audit import CREDIT_METHODS, INTERNAL_METHODS
 from ledgerline.plans.store import KEY, OrderStore
@@ -14,6 +17,7 @@ from ledgerline.sources.workspace import Workspace
 
 NO_CATEGORY = "Uncategorized"
 NO_STATUS = "unknown"
+NO_METHOD = "(none)"
 
 AMOUNT = "decimal(28,4)"
 
@@ -129,6 +133,33 @@ def cohort_retention(orders: DataFrame) -> DataFrame:
     )
 
 
+def customer_sets(orders: DataFrame) -> DataFrame:
+    """Who ordered, as sets of customers per month and payment method."""
+    month = F.trunc("order_date", "MM").alias("month")
+    return id_sets(orders, [month, "payment_method"], "customer_id")
+
+
+def customer_reach(sets: DataFrame) -> DataFrame:
+    """Different customers per month, quarter, year and payment method, and of all time.
+
+    Every figure is a union of the stored sets; no order is read again.
+    """
+    month = F.col("month")
+    year = F.year(month).cast("string")
+    periods = {
+        "month": F.date_format(month, "yyyy-MM"),
+        "quarter": F.concat(year, F.lit("-Q"), F.quarter(month).cast("string")),
+        "year": year,
+        "method": F.coalesce("payment_method", F.lit(NO_METHOD)),
+        "all": F.lit("all"),
+    }
+    counted = [
+        set_sizes(sets, [F.lit(grain).alias("grain"), period.alias("period")], "customers")
+        for grain, period in periods.items()
+    ]
+    return reduce(DataFrame.unionByName, counted)
+
+
 def category_revenue(store: OrderStore, products: DataFrame) -> DataFrame:
     """Item-level sales per category, without orders whose total is no money.
 

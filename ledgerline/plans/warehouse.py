@@ -11,7 +11,7 @@ from ledgerline.operators.layout import Layout
 from ledgerline.plans import analytics, audit, lookup, model, publish, star
 from ledgerline.plans.store import HOT_ROWS, OrderStore, bucket_count, hot_orders, save_store
 from ledgerline.sources.catalog import Catalog, new_database
-from ledgerline.sources.export import write_csv
+from ledgerline.sources.export import write_csv, write_damaged_csv
 from ledgerline.sources.landing import Landing, land_csv
 from ledgerline.sources.retail import RETAIL_TABLES, staging_from_retail
 from ledgerline.sources.workspace import Workspace, fingerprint
@@ -35,6 +35,7 @@ class Warehouse:
         self.catalog = Catalog(spark, new_database(label), self.workspace.path("catalog"))
         self.hot_rows = hot_rows
         self.landing: Landing | None = None
+        self._damaged: Landing | None = None
         self._land = land
         self._store: OrderStore | None = None
         self._lookup: dict[str, Layout] = {}
@@ -89,6 +90,20 @@ class Warehouse:
         """Path of the staging rows as CSV, written the first time it is asked for."""
         return self.workspace.folder("export_csv", lambda path: write_csv(self.staging(), path))
 
+    def damaged_csv(self) -> str:
+        """Path of the staging rows as CSV lines, some of them damaged, written once."""
+        return self.workspace.folder(
+            "damaged_csv", lambda path: write_damaged_csv(self.staging(), path)
+        )
+
+    def damaged_landing(self) -> Landing:
+        """What landing makes of that export."""
+        with self._lock:
+            if self._damaged is None:
+                scope = self.workspace.scope("damaged")
+                self._damaged = land_csv(self.spark, self.damaged_csv(), scope, allow_damaged=True)
+            return self._damaged
+
     def order_flags(self) -> DataFrame:
         return self.workspace.table("order_flags", lambda: model.build_order_flags(self.staging()))
 
@@ -194,6 +209,11 @@ class Warehouse:
             "rfm_segments", lambda: analytics.rfm_segments(self.orders(), self.workspace)
         )
 
+    def customer_sets(self) -> DataFrame:
+        return self.workspace.table(
+            "customer_sets", lambda: analytics.customer_sets(self.orders())
+        )
+
     def views(self) -> dict[str, DataFrame]:
         """What business users read first."""
         return {
@@ -220,7 +240,7 @@ class Warehouse:
             self.catalog.drop()
             self.workspace.close()
             self._lookup.clear()
-            self._store = self.landing = None
+            self._store = self.landing = self._damaged = None
 
     def __enter__(self) -> Warehouse:
         return self

@@ -67,11 +67,27 @@ def csv_ingest_client(w: Warehouse) -> DataFrame:
     return audit.missing_token_profile(read_csv(w.spark, w.exported_csv()))
 
 
+def csv_quarantine(w: Warehouse) -> DataFrame:
+    """Landed rows, and lines kept aside by their damage, of an export with damaged lines.
+
+    The summed item ids show that each line is kept as it was.
+    """
+    landing = w.damaged_landing()
+    first = F.element_at(F.split("line", ","), 1)
+    rows = landing.staging.select(F.lit("none").alias("damage"), F.col("item_id")).unionByName(
+        landing.quarantine.select("damage", first.alias("item_id"))
+    )
+    return rows.groupBy("damage").agg(
+        F.count("*").alias("rows"), F.sum(F.col("item_id").try_cast("bigint")).alias("item_ids")
+    )
+
+
 LANDING: dict[str, Query] = {
     "zone_layout": zone_layout,
     "staging_schema": staging_schema,
     "csv_ingest_server": csv_ingest_server,
     "csv_ingest_client": csv_ingest_client,
+    "csv_quarantine": csv_quarantine,
     "csv_malformed_rows": lambda w: malformed_rows(w.spark, w.exported_csv()),
 }
 
@@ -234,6 +250,9 @@ MODEL: dict[str, Query] = {
         w.order_items(), w.products()
     ),
     "recon_ledger": lambda w: reconcile.ledger(w.staging(), w.model()),
+    "recon_contents": lambda w: reconcile.contents(
+        {name: w.build(name) for name in w.model()}, w.model(), w.workspace
+    ),
 }
 
 # --- lookup and layout -----------------------------------------------------
@@ -282,6 +301,7 @@ ANALYSIS: dict[str, Query] = {
     "v_rfm_segments": lambda w: _doubles(w.rfm_segments()),
     "rfm_summary": lambda w: _doubles(analytics.rfm_summary(w.rfm_segments())),
     "v_cohort_retention": lambda w: analytics.cohort_retention(w.orders()),
+    "customer_reach": lambda w: analytics.customer_reach(w.customer_sets()),
     "category_revenue": lambda w: analytics.category_revenue(w.store(), w.products()),
     "status_breakdown": lambda w: analytics.status_breakdown(w.orders()),
     "payment_mix": lambda w: analytics.payment_mix(w.orders()),

@@ -110,3 +110,25 @@ def write_csv(staging: DataFrame, path: str) -> None:
         .option("emptyValue", "")
         .csv(path)
     )
+
+
+# Item ids divisible by these lose a field, have one more, or open a quote.
+FIELD_LOST, FIELD_MORE, QUOTE_OPEN = 97, 89, 83
+
+
+def write_damaged_csv(staging: DataFrame, path: str) -> None:
+    """Staging rows as lines of the export, damaged by the item id, to try a landing on."""
+    names = list(RAW_COLUMNS)
+    rows = staging.select(*STAGING_COLUMNS).toDF(*names)
+    options = {"escape": '"', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+    item = F.col(names[0]).try_cast("bigint")
+    line = F.col("line")
+    damaged = (
+        F.when(item % FIELD_LOST == 0, F.regexp_replace(line, ",[^,]*$", ""))
+        .when(item % FIELD_MORE == 0, F.concat(line, F.lit(",more")))
+        .when(item % QUOTE_OPEN == 0, F.regexp_replace(line, ",([^,]*)$", ',"$1'))
+        .otherwise(line)
+    )
+    text = rows.withColumn("line", F.to_csv(F.struct(*[F.col(f"`{n}`") for n in names]), options | {"emptyValue": ""}))
+    header = staging.sparkSession.range(1).select(F.lit(",".join(names)).alias("value"))
+    header.unionByName(text.select(damaged.alias("value"))).write.mode("overwrite").text(path)

