@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from ledgerline.functions.money import percent, ratio
 from ledgerline.operators.checks import share_of_total
+from ledgerline.operators.cuts import add_groups
 from ledgerline.operators.distinct import id_sets, set_sizes
-from ledgerline.operators.numbering import add_ntiles
 from ledgerline.plans.audit import CREDIT_METHODS, INTERNAL_METHODS
 from ledgerline.plans.store import KEY, OrderStore
 from ledgerline.sources.workspace import Workspace
@@ -73,16 +73,8 @@ def rfm_segments(orders: DataFrame, workspace: Workspace) -> DataFrame:
     """
     scope = workspace.scope("rfm")
     activity = scope.table("customer_activity", lambda: customer_activity(orders))
-    scored = add_ntiles(
-        activity,
-        {
-            "r_score": ["last_order", "customer_id"],
-            "f_score": ["frequency", "customer_id"],
-            "m_score": ["monetary", "customer_id"],
-        },
-        buckets=5,
-        workspace=scope,
-    )
+    values = {"r_score": "last_order", "f_score": "frequency", "m_score": "monetary"}
+    scored = add_groups(activity, values, "customer_id", groups=5)
     latest = activity.agg(F.max("last_order")).scalar()
     r, f, m = F.col("r_score"), F.col("f_score"), F.col("m_score")
     segment = (
