@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.functions.money import clean_money, gross_value, money, whole_number
+from ledgerline.functions.money import MONEY, clean_money, gross_value, money, whole_number
 from ledgerline.functions.text import (
     BACKSLASH_N,
     BLANK,
@@ -19,6 +19,7 @@ from ledgerline.functions.text import (
     INTEGER_TEXT,
     MISSING_TOKENS,
     NUMERIC_TEXT,
+    ORDER_DATE_FORMAT,
     SPREADSHEET_NA,
     YEAR_MONTH_TEXT,
     is_populated,
@@ -26,9 +27,12 @@ from ledgerline.functions.text import (
     is_test_sku,
     not_matching,
     null_tokens,
+    parse_date,
 )
-from ledgerline.operators import checks
+from ledgerline.operators import checks, redundancy, shapes
 from ledgerline.operators.checks import count_each, count_rows, valid_rows, within
+from ledgerline.operators.redundancy import Reading
+from ledgerline.sources.export import STAGING_COLUMNS
 
 # Payment methods for internal bookings and for credit orders.
 INTERNAL_METHODS = ("marketingexpense", "financesettlement")
@@ -640,3 +644,49 @@ def row_findings(staging: DataFrame) -> DataFrame:
     return checks.materiality(
         findings.select("finding", "rows", "valid_rows"), "rows", "valid_rows"
     )
+
+
+# --- found, not given ------------------------------------------------------
+
+# Columns whose values have a form; names, labels and product keys are free text.
+FORMED_COLUMNS = (
+    "item_id", "created_at", "price", "qty_ordered", "grand_total", "increment_id",
+    "discount_amount", "working_date", "mv", "year", "month", "customer_since", "m_y", "fy",
+    "customer_id",
+)
+AMOUNT_COLUMNS = ("price", "qty_ordered", "grand_total", "discount_amount", "mv", "year", "month")
+DATE_COLUMNS = ("created_at", "working_date")
+
+
+def shape_profile(staging: DataFrame) -> DataFrame:
+    """The shapes of all columns with a form, and a pattern for each."""
+    return shapes.shape_profile(valid_rows(staging), FORMED_COLUMNS)
+
+
+def shape_offenders(staging: DataFrame) -> DataFrame:
+    """Values whose shape is rare in their column."""
+    return shapes.shape_offenders(valid_rows(staging), FORMED_COLUMNS)
+
+
+def readings() -> list[Reading]:
+    """Every column as text, some as numbers or dates, and amounts that follow from others."""
+
+    def number(value: Column) -> Column:
+        return value.cast(MONEY).cast("string")
+
+    as_text = [Reading(c, "text", F.nullif(F.col(c), F.lit(BLANK))) for c in STAGING_COLUMNS]
+    as_number = [Reading(c, "number", number(clean_money(c))) for c in AMOUNT_COLUMNS]
+    as_date = [
+        Reading(c, "date", parse_date(c, ORDER_DATE_FORMAT).cast("string")) for c in DATE_COLUMNS
+    ]
+    derived = [
+        Reading("gross", "number", number(_gross())),
+        Reading("rounded gross", "number", number(F.round(_gross(), 0))),
+        Reading("month and year", "text", F.concat("month", F.lit("-"), "year")),
+    ]
+    return [*as_text, *as_number, *as_date, *derived]
+
+
+def redundant_pairs(staging: DataFrame) -> DataFrame:
+    """All pairs of columns, read one way or another, that agree in every populated row."""
+    return redundancy.redundant_pairs(valid_rows(staging), "item_id", readings())

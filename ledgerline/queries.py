@@ -106,6 +106,9 @@ _per_order = audit.order_attribute_consistency
 _per_any_order = audit.order_attribute_consistency_any_row
 
 AUDIT: dict[str, Query] = {
+    "dq_shape_profile": lambda w: audit.shape_profile(w.staging()),
+    "dq_shape_offenders": lambda w: audit.shape_offenders(w.staging()),
+    "dq_redundant_pairs": lambda w: audit.redundant_pairs(w.staging()),
     "dq_row_count_filtered": _on_staging(audit.row_count_filtered),
     "dq_row_count_total_vs_populated": _on_staging(audit.row_count_total_vs_populated),
     "dq_duplicate_item_id": _on_staging(audit.duplicate_item_id),

@@ -667,6 +667,88 @@ _add(
     "items_t",
 )
 
+# --- found, not given ------------------------------------------------------
+
+_FORMED = (
+    "item_id", "created_at", "price", "qty_ordered", "grand_total", "increment_id",
+    "discount_amount", "working_date", "mv", "year", "month", "customer_since", "m_y", "fy",
+    "customer_id",
+)
+_SHAPES = "cells AS (" + _union(
+    [f"SELECT '{c}' AS column_name, \"{c}\" AS value FROM facts WHERE \"{c}\" IS NOT NULL" for c in _FORMED]
+) + r"""), shaped AS (
+    SELECT *, regexp_replace(regexp_replace(value, '[A-Za-z]+', 'a', 'g'), '[0-9]+', '9', 'g') AS shape FROM cells
+), counted AS (
+    SELECT column_name, shape, count(*) AS n, sum(count(*)) OVER (PARTITION BY column_name) AS whole
+    FROM shaped GROUP BY column_name, shape
+)"""
+_add(
+    "dq_shape_profile",
+    rf"""SELECT column_name, shape, pattern, n AS "rows", {_pct("n", "whole")} AS pct, 100 * n >= 2 * whole AS is_common
+FROM counted JOIN patterns USING (column_name, shape)""",
+    "facts",
+    extra=_SHAPES + r""", runs AS (
+    SELECT column_name, shape, unnest(range(1, len(parts) + 1)) AS place, unnest(parts) AS part
+    FROM (SELECT DISTINCT column_name, shape, list_transform(
+        regexp_extract_all(value, '[A-Za-z]+|[0-9]+|.'), lambda x: length(x)) AS parts FROM shaped)
+), bounds AS (
+    SELECT column_name, shape, place, min(part) AS least, max(part) AS most, substr(shape, place, 1) AS sign
+    FROM runs GROUP BY column_name, shape, place
+), patterns AS (
+    SELECT column_name, shape, string_agg(CASE WHEN sign IN ('a', '9')
+        THEN CASE sign WHEN 'a' THEN '[A-Za-z]' ELSE '[0-9]' END
+            || CASE WHEN most = 1 THEN '' WHEN least = most THEN '{' || least || '}'
+               ELSE '{' || least || ',' || most || '}' END
+        ELSE '\' || sign END, '' ORDER BY place) AS pattern
+    FROM bounds GROUP BY column_name, shape
+)""",
+)
+_add(
+    "dq_shape_offenders",
+    """SELECT column_name, value, count(*) AS "rows" FROM shaped JOIN counted USING (column_name, shape)
+WHERE 100 * n < 2 * whole GROUP BY column_name, value""",
+    "facts",
+    extra=_SHAPES,
+)
+
+
+def _readings() -> list[tuple[str, str, str]]:
+    """(column, reading, SQL) of every reading."""
+    money = "CAST({} AS DECIMAL(18,4))::VARCHAR"
+    bare = "trim(replace(\"{}\", ',', ''))"
+    amounts = ("price", "qty_ordered", "grand_total", "discount_amount", "mv", "year", "month")
+    found = [(c, "text", f"nullif(\"{c}\", '')") for c in STAGING_COLUMNS]
+    found += [
+        (c, "number", f"CASE WHEN {bare.format(c)} = '-' THEN '0.0000' "
+         f"ELSE TRY_CAST({bare.format(c)} AS DECIMAL(18,4))::VARCHAR END")
+        for c in amounts
+    ]
+    found += [(c, "date", f"CAST(strptime({c}, '%m/%d/%Y') AS DATE)::VARCHAR") for c in ("created_at", "working_date")]
+    return [
+        *found,
+        ("gross", "number", money.format("gross_n")),
+        ("rounded gross", "number", money.format("round(gross_n, 0)")),
+        ("month and year", "text", "\"month\" || '-' || \"year\""),
+    ]
+
+
+_READ = _readings()
+# Every pair of readings, compared in every row.
+_add(
+    "dq_redundant_pairs",
+    "SELECT p.left_column, p.left_reading, p.right_column, p.right_reading, p.compared_rows FROM (SELECT unnest(["
+    + ", ".join(
+        f"{{'left_column': '{a[0]}', 'left_reading': '{a[1]}', 'right_column': '{b[0]}', 'right_reading': '{b[1]}', "
+        f"'compared_rows': count(r{i}), 'different': count(*) FILTER (r{i} IS DISTINCT FROM r{j})}}"
+        for i, a in enumerate(_READ)
+        for j, b in enumerate(_READ)
+        if i < j and a[0] != b[0]
+    )
+    + "]) AS p FROM readings) WHERE p.different = 0 AND p.compared_rows > 0",
+    "facts",
+    extra="readings AS (SELECT " + ", ".join(f"{sql} AS r{i}" for i, (_, _, sql) in enumerate(_READ)) + " FROM facts)",
+)
+
 # --- lookup and layout -----------------------------------------------------
 
 _LOOKUP = """SELECT increment_id, order_date, sku, CAST(price AS DOUBLE) AS price, qty_ordered
