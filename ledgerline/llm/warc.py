@@ -5,8 +5,9 @@ Each task writes its pages as records, one gzip member each, into archives of ab
 offset, length, URL, payload digest. The index is a table that Spark commits, and archive
 names are unique to a task attempt, so what a lost task wrote is never read.
 
-Readers start from the index. The selected records are sorted by archive and offset, and
-neighbours with a small gap become one read of at most ``READ_BYTES`` (or one record).
+Readers start from the index. The selected records are sorted by archive and offset, dealt to
+as many tasks as their bytes ask for, and neighbours with a small gap become one read of at
+most ``READ_BYTES`` (or one record).
 
 Of the records with equal payloads, that with the largest page id is the ``response``,
 the others are ``revisit`` records, which refer to it and hold the HTTP header only. Only
@@ -39,6 +40,8 @@ from ledgerline.sources.workspace import Workspace
 
 ARCHIVE_BYTES = 64 << 20
 READ_BYTES = 8 << 20
+# Bytes of records that one task reads back.
+TASK_BYTES = 16 << 20
 MOST_GAP = 64 << 10
 LEAST_REVISIT_BYTES = 0
 # Pages carry no time of their own.
@@ -257,10 +260,17 @@ def read_records(
     most_gap: int = MOST_GAP,
     most_bytes: int = READ_BYTES,
     with_payload: bool = True,
+    task_bytes: int = TASK_BYTES,
 ) -> DataFrame:
-    """The records of the index rows ``selected``, checked against their digests."""
+    """The records of the index rows ``selected``, checked against their digests.
+
+    Tasks follow the bytes to read, which the index knows; index rows are too small to tell.
+    """
     places = selected.select("archive", "offset", "length")
-    sorted_places = places.repartition("archive").sortWithinPartitions("archive", "offset")
+    total = places.agg(F.sum("length")).first()[0] or 0
+    tasks = max(1, -(-total // task_bytes))
+    dealt = places.repartitionByRange(tasks, "archive", "offset")
+    sorted_places = dealt.sortWithinPartitions("archive", "offset")
     run = partial(
         _read, folder=workspace.path("archives"), most_gap=most_gap,
         most_bytes=most_bytes, with_payload=with_payload,

@@ -7,6 +7,7 @@ from collections import Counter
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from ledgerline.llm import warc
 from ledgerline.llm.queries import ORACLE_SQL, QUERIES
@@ -101,3 +102,16 @@ def test_damage_is_found():
         warc.parse(raw.replace(b"payload\r\n", b"paYload\r\n"))
     with pytest.raises(ValueError, match="whole"):
         warc.parse(raw[:-3])
+
+
+def test_read_tasks_follow_the_bytes(spark):
+    """However few bytes index rows have, and however many records one archive holds."""
+    pages = spark.range(400).selectExpr(
+        "id AS page_id", "concat('http://p/', id) AS url", "concat(id, sha2(string(id), 512), sha2(string(-id), 512)) AS html"
+    )
+    space = Workspace(spark, "t")
+    index = warc.write_archives(pages.coalesce(2), space)
+    total = index.agg(F.sum("length")).first()[0]
+    read = warc.read_records(index, space, task_bytes=total // 8)
+    per_task = [r["count"] for r in read.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(per_task) >= 8 and sum(per_task) == 400 and max(per_task) < 100
