@@ -24,7 +24,7 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
-from functools import cache, partial
+from functools import cache, lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
@@ -39,12 +39,15 @@ DIMENSIONS = 1024
 PER_LANGUAGE = 400
 UNDETERMINED = "und"
 # A text is in a language if its cosine is not below this quantile of what documents of the
-# language have at its length; it takes so many documents to tell.
+# language have at its length. That of all languages at the length weighs as much as so many
+# documents of its own, so a language with few documents has much the limit of the others.
 LOW_QUANTILE = 0.01
-LEAST_DOCUMENTS = 20
+COMMON_WEIGHT = 20
+# Three standard deviations of the cosine of unrelated vectors: below, a text tells nothing.
+CHANCE = 3 / DIMENSIONS**0.5
 
 _ROWS = 256
-_GRAMS = 8192
+_GRAMS = 2048
 _BLANK = 0x20
 
 
@@ -60,7 +63,8 @@ def _lower_letters() -> np.ndarray:
     return table
 
 
-@cache
+# A kilobyte each; vectors follow from their letters, so forgetting one costs time only.
+@lru_cache(maxsize=8192)
 def _letter_vector(code: int) -> np.ndarray:
     bits = np.random.Generator(np.random.Philox(key=code)).integers(0, 2, DIMENSIONS, dtype=np.int8)
     return bits * np.int8(2) - np.int8(1)
@@ -167,7 +171,10 @@ def _compared(batches: Iterator[pa.RecordBatch], sums: dict[str, np.ndarray]) ->
                 cuts = [text, *(text[: 1 << k] for k in range(2, len(text).bit_length()) if 1 << k < len(text))]
                 vectors, sizes = document_vectors(cuts)
                 vectors = _unit(vectors.astype(np.float64))
-                cosines = vectors @ _unit(sums[lang] - vectors[0])
+                others = sums[lang] - vectors[0]
+                if np.linalg.norm(others) < 1e-6:
+                    continue  # the only document of its language
+                cosines = vectors @ _unit(others)
                 powers: dict[int, float] = {}
                 # One value of a document per length, that of the text itself before beginnings.
                 for size, cosine in zip(sizes.tolist(), cosines.tolist(), strict=True):
@@ -187,20 +194,28 @@ def _limits(sample: DataFrame, sums: dict[str, np.ndarray]) -> dict[str, list[fl
     compared = sample.select("text", "lang").mapInArrow(
         partial(_compared, sums=sums), "lang string, power int, cosine double"
     )
-    values: dict[str, dict[int, list[float]]] = {lang: {} for lang in sums}
+    own: dict[tuple[str, int], list[float]] = {}
+    common: dict[int, list[float]] = {}
     for lang, power, cosine in compared.collect():
-        values[lang].setdefault(power, []).append(cosine)
+        own.setdefault((lang, power), []).append(cosine)
+        common.setdefault(power, []).append(cosine)
     limits: dict[str, list[float]] = {}
-    for lang, by_power in values.items():
-        limits[lang], limit = [], -1.0
-        for power in range(max(by_power, default=0) + 1):
-            measured = by_power.get(power, [])
-            if len(measured) >= LEAST_DOCUMENTS:
-                limit = max(limit, float(np.quantile(measured, LOW_QUANTILE, method="lower")))
+    for lang in sums:
+        limits[lang], limit = [], CHANCE
+        for power in range(max(common, default=0) + 1):
+            if power in common:
+                limit = max(limit, _low(own.get((lang, power), []), common[power]))
             limits[lang].append(limit)
     return limits
 
 
+def _low(own: list[float], common: list[float]) -> float:
+    """The low quantile of a language's cosines, drawn towards that of all languages if they are few."""
+    of_all = np.quantile(common, LOW_QUANTILE, method="lower")
+    of_own = np.quantile(own, LOW_QUANTILE, method="lower") if own else 0.0
+    return float((len(own) * of_own + COMMON_WEIGHT * of_all) / (len(own) + COMMON_WEIGHT))
+
+
 def _identified(
     batches: Iterator[pa.RecordBatch], languages: list[str], prototypes: np.ndarray
 ) -> Iterator[pa.RecordBatch]:
