@@ -36,7 +36,7 @@ END_ID = 0
 # Left-over ids of a document are cut to this length: more pieces, more even windows.
 PIECE_IDS = 256
 ROUND_PIECES = 1024
-ENCODED_BYTES = 4 << 20
+ENCODED_BYTES = 1 << 18
 
 
 class _Partial:

@@ -14,8 +14,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import SparkSession
 
-PIECE_BYTES = 1 << 20
-BATCH_BYTES = 16 << 20
+PIECE_BYTES = 1 << 18
+BATCH_BYTES = 8 << 20
 
 _SEED = 20240601
 _MASK = (1 << 64) - 1

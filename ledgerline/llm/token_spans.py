@@ -27,7 +27,7 @@ from pyspark.sql.types import IntegerType, LongType, StringType
 from ledgerline.llm.text import bound_batches, slices
 from ledgerline.llm.tokens import encoder, tokenizer_path
 
-ENCODED_BYTES = 4 << 20
+ENCODED_BYTES = 1 << 18
 LINE_BREAK = 0x0A
 
 Sections = Callable[[np.ndarray], np.ndarray]

@@ -20,7 +20,7 @@ DEFAULT_TOKENIZER = "byte_bpe_50k.json"
 # Latin letters with their accents, whose classes are the same in every Unicode version.
 PLAIN_LIMIT = 0x0370
 # Different pieces kept in a Python worker; the table is emptied beyond that.
-KEPT_PIECES = 2_000_000
+KEPT_PIECES = 250_000
 # Pieces encoded as one text.
 JOINED_PIECES = 512
 
