@@ -14,10 +14,8 @@ from ledgerline.plans import analytics, audit, lookup, model, reconcile, star
 from ledgerline.plans.warehouse import Warehouse, open_retail
 from ledgerline.sources.export import RAW_COLUMNS, malformed_rows, read_csv
 
-# What the lookup queries look up.
+# What the lookup queries look up; orders and products are those with the least key.
 LOOKUP_CUSTOMER = 74
-LOOKUP_ORDER = "100000007"
-LOOKUP_SKU = "old_widget-144"
 LOOKUP_YEAR = 1998
 
 Query = Callable[[Warehouse], DataFrame]
@@ -270,12 +268,16 @@ def customer_order_lookup_indexed(w: Warehouse, customer: int = LOOKUP_CUSTOMER)
     return _doubles(found)
 
 
-def order_lookup(w: Warehouse, increment_id: str = LOOKUP_ORDER) -> DataFrame:
-    return _doubles(lookup.order_lookup(w.store(), increment_id))
+def _least(w: Warehouse, key: str) -> str:
+    return w.order_items().agg(F.min(key)).first()[0]
 
 
-def sku_lookup(w: Warehouse, sku: str = LOOKUP_SKU) -> DataFrame:
-    return _doubles(lookup.sku_lookup(w.lookup_table("items_by_sku"), sku))
+def order_lookup(w: Warehouse, increment_id: str | None = None) -> DataFrame:
+    return _doubles(lookup.order_lookup(w.store(), increment_id or _least(w, "increment_id")))
+
+
+def sku_lookup(w: Warehouse, sku: str | None = None) -> DataFrame:
+    return _doubles(lookup.sku_lookup(w.lookup_table("items_by_sku"), sku or _least(w, "sku")))
 
 
 def orders_on_weekends(w: Warehouse, year: int = LOOKUP_YEAR) -> DataFrame:

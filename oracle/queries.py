@@ -758,8 +758,8 @@ _add("customer_order_lookup_indexed", _LOOKUP, "items_t")
 _ITEM = """SELECT item_id, increment_id, sku, CAST(price AS DOUBLE) AS price, qty_ordered,
        CAST(discount_amount AS DOUBLE) AS discount_amount, CAST(gross_value AS DOUBLE) AS gross_value
 FROM items_t"""
-_add("order_lookup", f"{_ITEM} WHERE increment_id = '100000007'", "items_t")
-_add("sku_lookup", f"{_ITEM} WHERE sku = 'old_widget-144'", "items_t")
+_add("order_lookup", f"{_ITEM} WHERE increment_id = (SELECT min(increment_id) FROM items_t)", "items_t")
+_add("sku_lookup", f"{_ITEM} WHERE sku = (SELECT min(sku) FROM items_t)", "items_t")
 _add(
     "orders_on_weekends",
     """SELECT increment_id, order_date, customer_id, payment_method, CAST(grand_total AS DOUBLE) AS grand_total,
