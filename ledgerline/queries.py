@@ -68,16 +68,24 @@ def csv_ingest_client(w: Warehouse) -> DataFrame:
 def csv_quarantine(w: Warehouse) -> DataFrame:
     """Landed rows, and lines kept aside by their damage, of an export with damaged lines.
 
-    The summed item ids show that each line is kept as it was.
+    The summed item ids show that each line is kept as it was. They are whole numbers of 64
+    bits, and decimals only if a sum does not fit into these.
     """
     landing = w.damaged_landing()
     first = F.element_at(F.split("line", ","), 1)
     rows = landing.staging.select(F.lit("none").alias("damage"), F.col("item_id")).unionByName(
         landing.quarantine.select("damage", first.alias("item_id"))
     )
-    return rows.groupBy("damage").agg(
-        F.count("*").alias("rows"), F.sum(F.col("item_id").try_cast("bigint")).alias("item_ids")
+    item_id = F.col("item_id").try_cast("bigint").cast("decimal(28,0)")
+    summed = w.workspace.table(
+        "quarantine_sums",
+        lambda: rows.groupBy("damage").agg(
+            F.count("*").alias("rows"), F.sum(item_id).alias("item_ids")
+        ),
     )
+    fitting = F.col("item_ids").try_cast("bigint")
+    fits = summed.where(F.col("item_ids").isNotNull() & fitting.isNull()).isEmpty()
+    return summed.withColumn("item_ids", fitting) if fits else summed
 
 
 LANDING: dict[str, Query] = {

@@ -18,7 +18,7 @@ from ledgerline.operators.layout import Layout, laid_out, part_of
 from ledgerline.operators.numbering import add_ntiles, global_row_number
 from ledgerline.plans import analytics, audit, lookup, model, star
 from ledgerline.plans.warehouse import Warehouse
-from ledgerline.queries import QUERIES
+from ledgerline.queries import QUERIES, csv_quarantine
 from ledgerline.sources.catalog import Catalog, new_database
 from ledgerline.sources.retail import staging_from_retail
 from ledgerline.sources.workspace import Workspace, shared_folder
@@ -400,3 +400,25 @@ def test_closing_leaves_nothing(spark, warehouse):
         root = other.workspace.root
         assert os.listdir(root.removeprefix("file:"))
     assert not os.path.exists(root.removeprefix("file:"))
+
+
+# --- keys and sums of any size -----------------------------------------------
+
+
+def test_sums_of_item_ids_beyond_64_bits(spark, staged):
+    """Damaged lines are summed whole; sums that fit stay whole numbers of 64 bits."""
+    top = (1 << 63) - 1
+    large = [top - n for n in range(40)]
+    for ids, kind in ((large, "decimal(38,0)"), (range(1, 41), "bigint")):
+        w = Warehouse.from_staging(spark, staged(*[{"item_id": str(i)} for i in ids]))
+        found = csv_quarantine(w)
+        assert dict(found.dtypes)["item_ids"] == kind
+        kinds = [
+            "fields" if i % 97 == 0 or i % 89 == 0 else "quote" if i % 83 == 0 else "none" for i in ids
+        ]
+        expected = {
+            k: (kinds.count(k), sum(i for i, x in zip(ids, kinds, strict=True) if x == k))
+            for k in set(kinds)
+        }
+        assert {r.damage: (r["rows"], int(r.item_ids)) for r in found.collect()} == expected
+        w.close()
