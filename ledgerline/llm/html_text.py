@@ -9,11 +9,13 @@ between both points are the main text.
 Weights use what the markup says. Lines in navigation, page headers, footers, sidebars,
 notices, adverts, forms, comments and hidden elements, by element, role, or words of ``class``
 and ``id``, weigh nothing. If the page marks its article (``article``, else ``main``, else a
-container named as content), only lines in it weigh, and any text is a surge. Otherwise a
-line weighs its text outside links, nothing if most of it is links, and the surge adapts to
-short pages. Then the heaviest span counts, with others of a quarter of its weight, and
+container named as content), only lines in it weigh, with all their text. Otherwise a
+line weighs its text outside links, nothing if most of it is links. The surge adapts to
+short pages. The heaviest span counts, with others of a quarter of its weight, and
 short paragraphs between two of these; ends are trimmed to paragraphs, headings and long lines,
-and reach over all paragraphs and headings that follow each other.
+and reach over all paragraphs and headings that follow each other. A check by the marks
+follows where there are any: weighted lines of the article that lie before the surge, between
+spans or after the dive are put back in their place, since all of the article counts.
 
 Malformed markup is read as far as possible: unclosed and crossing elements, a page that
 stops inside a tag, comment or script, and references without a semicolon.
@@ -305,12 +307,21 @@ def spans(weights: list[int], surge: int) -> list[tuple[int, int]]:
     return out
 
 
-def _unmarked(lines: list[Line]) -> list[Line]:
-    """The main lines of a page that does not mark its article."""
+def _weigh(lines: list[Line], tier: int) -> None:
+    """Weights of lines, of those of the article only if the page marks it by ``tier``."""
     for line in lines:
-        linked = len(" ".join(html.unescape("".join(line.linked)).split()))
         size = len(line.text)
-        line.weight = size - linked if line.kind == _PLAIN and 2 * linked <= size else 0
+        if line.kind != _PLAIN or line.tier != tier:
+            line.weight = 0
+        elif tier:
+            line.weight = size
+        else:
+            linked = len(" ".join(html.unescape("".join(line.linked)).split()))
+            line.weight = size - linked if 2 * linked <= size else 0
+
+
+def distributed(lines: list[Line]) -> list[int]:
+    """The places of the main lines by surge and dive of their weights."""
     weights = [line.weight for line in lines]
     heaviest = max((sum(weights[i : i + WINDOW]) for i in range(len(weights))), default=0)
     if not heaviest:
@@ -340,34 +351,24 @@ def _unmarked(lines: list[Line]) -> list[Line]:
     kept = [(a, b) for a, b in trimmed if sum(weights[a : b + 1]) >= LEAST_PART * most]
     out = []
     for n, (first, last) in enumerate(kept):
-        between = lines[kept[n - 1][1] + 1 : first] if n else []
-        out += [line for line in between if line.weight and line.paragraph]
-        out += [line for line in lines[first : last + 1] if line.weight]
+        between = range(kept[n - 1][1] + 1, first) if n else ()
+        out += [i for i in between if weights[i] and lines[i].paragraph]
+        out += [i for i in range(first, last + 1) if weights[i]]
     return out
 
 
-def _marked(lines: list[Line], tier: int) -> list[Line]:
-    """The lines of the article that the page marks, as far as they lie between surge and dive."""
-    for line in lines:
-        line.weight = len(line.text) if line.kind == _PLAIN and line.tier == tier else 0
-    return [
-        line
-        for first, last in spans([line.weight for line in lines], 1)
-        for line in lines[first : last + 1]
-        if line.weight
-    ]
-
-
 def main_lines(page: str) -> list[Line]:
     for hints in (True, False):
         lines = lines_of(page, hints)
         tier = max((line.tier for line in lines if line.kind == _PLAIN), default=0)
-        if tier:
-            return _marked(lines, tier)
         # If all of a marked article is apart by the names of its elements, these mislead.
-        if not any(line.tier for line in lines):
+        if tier or not any(line.tier for line in lines):
             break
-    return _unmarked(lines)
+    _weigh(lines, tier)
+    found = distributed(lines)
+    if tier:
+        found = sorted({*found, *(i for i, line in enumerate(lines) if line.weight)})
+    return [lines[i] for i in found]
 
 
 def main_text(page: str | None) -> str:

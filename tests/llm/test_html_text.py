@@ -3,6 +3,7 @@ from __future__ import annotations
 import duckdb
 import pytest
 
+from ledgerline.llm import html_text
 from ledgerline.llm.html_text import extract, main_text, spans
 from ledgerline.llm.queries import ORACLE_SQL, QUERIES
 
@@ -36,6 +37,28 @@ def test_surge_and_dive():
     assert spans([], 1) == [] and spans([0, 0], 1) == [] and spans([1], 1) == [(0, 0)]
 
 
+def test_marked_pages_go_through_surge_and_dive(monkeypatch):
+    """The surge adapts on a marked page as on others; what it leaves of the article is put back."""
+    far = "<div>Far.</div>" * 6
+    page = f"<article><h1>T</h1><p>{LONG}</p>{far}<p>{LONG}</p>{far}</article><p>{LONG}</p>"
+    surges, found = [], []
+
+    def noted(weights, surge):
+        surges.append(surge)
+        return spans(weights, surge)
+
+    def kept(lines, given=html_text.distributed):
+        found.append([lines[i].text for i in given(lines)])
+        return given(lines)
+
+    monkeypatch.setattr(html_text, "spans", noted)
+    monkeypatch.setattr(html_text, "distributed", kept)
+    fars = ["Far."] * 6
+    assert main_text(page) == "\n".join(["T", LONG, *fars, LONG, *fars])
+    assert set(surges) == {html_text.SURGE}
+    assert found == [["T", LONG, LONG]]
+
+
 @pytest.mark.parametrize(
     ("page", "expected"),
     [
