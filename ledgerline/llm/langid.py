@@ -50,8 +50,10 @@ CHANCE = 3 / DIMENSIONS**0.5
 # Cosines are counted in steps of one of so many parts.
 STEPS = 1 << 16
 _STEPS_OF_RANGE = 1 << 8
-# Components of unit vectors are summed in whole numbers of one of so many parts.
+# Components of unit vectors are summed in whole numbers of one of so many parts, which leaves
+# room for 2^31 documents; those of a bounded sample in finer ones.
 _PARTS_OF_ONE = 1 << 32
+_PARTS_IN_SAMPLE = 1 << 44
 
 _ROWS = 256
 _GRAMS = 2048
@@ -131,18 +133,18 @@ def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             yield some.slice(first, _ROWS)
 
 
-def _whole(vectors: np.ndarray) -> np.ndarray:
-    return np.rint(_unit(vectors.astype(np.float64)) * _PARTS_OF_ONE).astype(np.int64)
+def _whole(vectors: np.ndarray, parts: int) -> np.ndarray:
+    return np.rint(_unit(vectors).astype(np.float64) * parts).astype(np.int64)
 
 
-def _bundled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _bundled(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
     """The sum of unit vectors per language, one row per task and language."""
     sums: dict[str, np.ndarray] = {}
     for batch in batches:
         for some in _parts(batch):
             vectors, _ = document_vectors([t or "" for t in some.column("text").to_pylist()])
             langs = some.column("lang").to_pylist()
-            whole = _whole(vectors)
+            whole = _whole(vectors, parts)
             for lang in set(langs):
                 total = whole[[x == lang for x in langs]].sum(axis=0)
                 sums[lang] = sums.get(lang, 0) + total
@@ -153,11 +155,11 @@ def _bundled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _sums(labelled: DataFrame) -> dict[str, np.ndarray]:
+def _sums(labelled: DataFrame, parts: int = _PARTS_OF_ONE) -> dict[str, np.ndarray]:
     """The sum of unit vectors of each language; Spark adds those of the tasks by component."""
     rows = (
         labelled.select("text", "lang")
-        .mapInArrow(_bundled, "lang string, bundle array<bigint>")
+        .mapInArrow(partial(_bundled, parts=parts), "lang string, bundle array<bigint>")
         .select("lang", F.posexplode("bundle").alias("place", "part"))
         .groupBy("lang", "place")
         .agg(F.sum("part").alias("total"))
@@ -165,7 +167,7 @@ def _sums(labelled: DataFrame) -> dict[str, np.ndarray]:
     )
     sums: dict[str, np.ndarray] = {}
     for lang, place, total in rows:
-        sums.setdefault(lang, np.zeros(DIMENSIONS))[place] = total / _PARTS_OF_ONE
+        sums.setdefault(lang, np.zeros(DIMENSIONS))[place] = total / parts
     return sums
 
 
@@ -178,7 +180,8 @@ def _prototypes(sums: dict[str, np.ndarray]) -> tuple[list[str], np.ndarray]:
 def learn(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> tuple[list[str], np.ndarray]:
     """(languages, prototypes) from ``doc_id``, ``text`` and ``lang``."""
     bound_batches(labelled.sparkSession)
-    return _prototypes(_sums(texts_of(labelled, per_label(labelled, "lang", per_language))))
+    sample = texts_of(labelled, per_label(labelled, "lang", per_language))
+    return _prototypes(_sums(sample, _PARTS_IN_SAMPLE))
 
 
 def _compared(batches: Iterator[pa.RecordBatch], sums: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
@@ -191,7 +194,7 @@ def _compared(batches: Iterator[pa.RecordBatch], sums: dict[str, np.ndarray]) ->
                 text = text or ""
                 cuts = [text, *(text[: 1 << k] for k in range(2, len(text).bit_length()) if 1 << k < len(text))]
                 vectors, sizes = document_vectors(cuts)
-                others = sums[lang] - _whole(vectors[:1])[0] / _PARTS_OF_ONE
+                others = sums[lang] - _whole(vectors[:1], _PARTS_OF_ONE)[0] / _PARTS_OF_ONE
                 vectors = _unit(vectors.astype(np.float64))
                 if np.linalg.norm(others) < 1e-6:
                     continue  # the only document of its language
