@@ -24,6 +24,7 @@ RETAIL = ("orders", "lineitem", "part")
 NAMES = (
     "build_customers",
     "build_order_items",
+    "build_orders",
 )
 
 
