@@ -25,6 +25,7 @@ NAMES = (
     "build_customers",
     "build_order_items",
     "build_orders",
+    "build_products",
 )
 
 
