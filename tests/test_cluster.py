@@ -26,6 +26,7 @@ NAMES = (
     "build_order_items",
     "build_orders",
     "build_products",
+    "category_revenue",
 )
 
 
