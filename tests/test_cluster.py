@@ -27,6 +27,7 @@ NAMES = (
     "build_orders",
     "build_products",
     "category_revenue",
+    "clustered_layout",
 )
 
 
