@@ -28,6 +28,7 @@ NAMES = (
     "build_products",
     "category_revenue",
     "clustered_layout",
+    "csv_ingest_client",
 )
 
 
