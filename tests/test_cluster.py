@@ -29,6 +29,7 @@ NAMES = (
     "category_revenue",
     "clustered_layout",
     "csv_ingest_client",
+    "csv_ingest_server",
 )
 
 
