@@ -31,6 +31,7 @@ NAMES = (
     "csv_ingest_client",
     "csv_ingest_server",
     "csv_malformed_rows",
+    "csv_quarantine",
 )
 
 
