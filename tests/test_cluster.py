@@ -34,6 +34,7 @@ NAMES = (
     "csv_quarantine",
     "customer_order_lookup_indexed",
     "customer_order_lookup",
+    "customer_reach",
 )
 
 
