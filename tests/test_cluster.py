@@ -43,6 +43,7 @@ NAMES = (
     "dq_customer_consistency",
     "dq_customer_id_completeness",
     "dq_customer_since_consistency",
+    "dq_customer_since_consistency_summary",
 )
 
 
