@@ -8,6 +8,7 @@ import duckdb
 import numpy as np
 import pytest
 
+from ledgerline.llm import jaccard_join
 from ledgerline.llm.jaccard_join import JaccardJoin, Rule, without_copies
 from ledgerline.llm.queries import ORACLE_SQL, QUERIES
 from ledgerline.sources.workspace import Workspace
@@ -146,3 +147,40 @@ def test_large_sets_are_compared_in_parts(spark, documents, monkeypatch):
     assert joined(documents(rows), spark) == brute(rows, RULE)
     sizes = jaccard_join._cuts(np.array([8, 9, 16, 17, 600]))
     assert sizes.tolist() == [0, 1, 1, 2, 7]
+
+
+def test_windows_hold_as_many_common_pivots_as_they_are_deep():
+    """Linked sets share that many of their first pivots, wherever they differ."""
+    rng = random.Random(11)
+    for rule in (RULE, Rule(), Rule(3, 50)):
+        for _ in range(2000):
+            universe = np.array(rng.sample(range(10**6), rng.randrange(2, 90)), np.uint64)
+            common = set(universe[: rng.randrange(1, len(universe) + 1)].tolist())
+            rest = [x for x in universe.tolist() if x not in common]
+            a, b = (common | {x for x in rest if rng.random() < share} for share in (0.5, 0.3))
+            if 100 * len(a & b) < rule.percent * len(a | b):
+                continue
+            frequent = np.sort(np.array(rng.sample(sorted(a | b), len(a | b) // 3), np.uint64))
+            for depth in range(1, min(jaccard_join.DEEPEST, len(a & b)) + 1):
+                x, y = (
+                    jaccard_join._window(np.array(sorted(s), np.uint64), rule, frequent, depth).tolist() for s in (a, b)
+                )
+                assert len(set(x) & set(y)) >= depth
+
+
+@pytest.mark.parametrize("rule", [RULE, Rule(2, 60)])
+def test_large_regions_are_split_recursively(spark, documents, monkeypatch, rule):
+    """Unlike members of one region part by their next pivots; all links are found all the same."""
+    monkeypatch.setattr(jaccard_join, "BLOCK", 2)
+    monkeypatch.setattr(jaccard_join, "SAMPLED_DOCUMENTS", 0)
+    monkeypatch.setattr(jaccard_join, "MORE_PIVOTS", 0)
+    rng = random.Random(5)
+    shared = [f"s{i}" for i in range(8)]
+    rows = [(i, " ".join(shared + prose(rng, rng.randrange(8, 40), 10**6))) for i in range(260)]
+    rows += [(1000 + i, " ".join(changed(rng, rows[i % 30][1].split(), rng.randrange(0, 3)))) for i in range(120)]
+    rows += [(2000 + i, " ".join(changed(rng, shared, i % 3) + ["end"] * (i % 2))) for i in range(40)]
+    space = Workspace(spark, "t")
+    found = JaccardJoin(documents(rows), space, rule).classes().collect()
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in found) == brute(rows, rule)
+    assert spark.read.parquet(space.path("split_1")).count() > 0
+    assert spark.read.parquet(space.path("regions_2")).count() > 0
