@@ -50,6 +50,7 @@ NAMES = (
 
 OPERATORS = (
     "pipeline",
+    "op3_mixing",
 )
 
 
