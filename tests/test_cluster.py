@@ -51,6 +51,7 @@ NAMES = (
 OPERATORS = (
     "pipeline",
     "op3_mixing",
+    "op6_warc",
 )
 
 
