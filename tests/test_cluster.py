@@ -52,6 +52,7 @@ OPERATORS = (
     "pipeline",
     "op3_mixing",
     "op6_warc",
+    "op7_jaccard_join",
 )
 
 
