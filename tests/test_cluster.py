@@ -53,6 +53,7 @@ OPERATORS = (
     "op3_mixing",
     "op6_warc",
     "op7_jaccard_join",
+    "op10_quotes",
 )
 
 
