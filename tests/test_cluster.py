@@ -54,6 +54,7 @@ OPERATORS = (
     "op6_warc",
     "op7_jaccard_join",
     "op10_quotes",
+    "op11_alignment",
 )
 
 
