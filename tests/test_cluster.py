@@ -55,6 +55,7 @@ OPERATORS = (
     "op7_jaccard_join",
     "op10_quotes",
     "op11_alignment",
+    "op13_hard_negatives",
 )
 
 
